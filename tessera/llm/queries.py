@@ -102,4 +102,36 @@ QUERIES = {
     "pages_language_id": pages_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ESCAPED = r"regexp_replace(replace({0}, '␛', '␛e'), '(<|\[)(/?s>|/?INST\])', '\1␛\2', 'g')"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLES = {
+    "op2_chat_formatting": rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+      c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        CAST(sum(length('<s>[INST] ') + length({ESCAPED.format("role")}) + 1 + length({ESCAPED.format("text")}) + length(' [/INST]</s>')) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+      SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS verified FROM c""",
+    "op4_minhash_dedup": rf"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM documents),
+      sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+      pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+      links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+      reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+      least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+      SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
+      FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = d.doc_id""",
+    "op10_mixing": rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size,
+        -ln((CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '#17'), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+          / CASE WHEN length(text) > 0 THEN greatest(CAST(0.05 AS DOUBLE), 1 - CAST(3 AS DOUBLE) * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text)) ELSE 1 END AS key FROM documents),
+      s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+      c AS (SELECT *, CAST(2 AS DOUBLE) * source_size AS cap, (SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) AS budget FROM s),
+      l AS (SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+      t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w < cap), 1e300) * w) AS target FROM l),
+      e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+      r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, CAST(doc_id AS VARCHAR)) AS upto
+        FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+      SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND upto - CAST(size AS DOUBLE) / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
+}
