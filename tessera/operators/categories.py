@@ -27,9 +27,10 @@ def new_categories(
     key = F.col(id_attribute).cast("bigint") if by_id else F.col(name_attribute)
     name = F.col(name_attribute) if has(name_attribute) else key.cast("string")
     parent = F.col(super_attribute) if has(super_attribute) else F.lit(DEFAULT_SUPER)
-    rows = labels.select(key.alias("key"), F.struct(F.col(order), name.alias("name"), parent.alias("parent")).alias("v"))
-    # The first label of a key: a struct minimum, combined on the map side.
-    firsts = rows.groupBy("key").agg(F.min("v").alias("v")).select("key", F.col("v.name").alias("name"), F.col("v.parent").alias("supercategory"))
+    rows = labels.select(key.alias("key"), F.col(order).alias("ord"), name.alias("name"), parent.alias("supercategory"))
+    # The first label of a key: a minimum of numbers (hashed, combined on the map side), then its attributes by that number.
+    first = rows.groupBy("key").agg(F.min("ord").alias("first"))
+    firsts = rows.join(first.select(F.col("first"), F.col("key").alias("k")), (F.col("ord") == F.col("first")) & (F.col("key") == F.col("k"))).select("key", "name", "supercategory")
     of = "id" if by_id else "name"
     fresh = firsts.join(existing.select(F.col(of).alias("key")).distinct(), "key", "left_anti")
     if by_id:

@@ -65,21 +65,22 @@ def cut_invalid(rows: DataFrame, invalid: DataFrame) -> DataFrame:
     return joined.select("label_ord", "row", runs.alias("runs")).filter(F.size("runs") > 0)
 
 
-def window_masks(pairs: DataFrame, rows: DataFrame, width: int, height: int, raster: tuple[int, int] | None = None) -> DataFrame:
+def window_masks(pairs: DataFrame, rows: DataFrame, width: int, height: int, raster: tuple[int, int] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """label_ord, window_ord, rows array<struct<row, c0, c1>> relative to the window; (label, window) pairs without a pixel drop out.
 
     `pairs`: label_ord, window_ord, col_off, row_off.  `raster`: its (width, height); pixels beyond are padding, never set.
+    `carried`: further columns of `pairs` to keep.
     """
     # Runs of a label are gathered before they meet its windows: one join by label, whatever the number of windows.
     whole = rows.groupBy("label_ord").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct(F.col("row").alias("row"), r["c0"].alias("c0"), r["c1"].alias("c1"))))).alias("runs"))
-    joined = pairs.select("label_ord", "window_ord", "col_off", "row_off").join(whole, "label_ord")
+    joined = pairs.select("label_ord", "window_ord", "col_off", "row_off", *carried).join(whole, "label_ord")
     right, bottom = F.col("col_off") + width - 1, F.col("row_off") + height - 1
     if raster:
         right, bottom = F.least(right, F.lit(raster[0] - 1)), F.least(bottom, F.lit(raster[1] - 1))
     top, left = F.greatest("row_off", F.lit(0)), F.greatest("col_off", F.lit(0))
     seen = F.filter("runs", lambda r: (r["row"] >= top) & (r["row"] <= bottom) & (r["c1"] >= left) & (r["c0"] <= right))
     moved = F.transform(seen, lambda r: F.struct((r["row"] - F.col("row_off")).alias("row"), (F.greatest(r["c0"], left) - F.col("col_off")).alias("c0"), (F.least(r["c1"], right) - F.col("col_off")).alias("c1")))
-    return joined.select("label_ord", "window_ord", "col_off", "row_off", F.sort_array(moved).alias("rows")).filter(F.size("rows") > 0)
+    return joined.select("label_ord", "window_ord", "col_off", "row_off", *carried, F.sort_array(moved).alias("rows")).filter(F.size("rows") > 0)
 
 
 def area(rows: Column) -> Column:

@@ -55,15 +55,16 @@ def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: Dat
     Kept windows are those that any label touches, even if no pixel comes of it.
     """
     schema = grid.schema
-    shaped = with_edges(labels, raster.transform)
+    # One exchange by label, of geometries: everything below groups and joins by label and needs no other.
+    slim = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd")).repartition("label_ord")
+    shaped = with_edges(slim, raster.transform)
     pairs = windows.label_windows(shaped, grid)
     kept = pairs.select("window_ord", "col_off", "row_off").distinct()
     rows = masks.row_intervals(shaped)
     if invalid is not None:
         rows = masks.cut_invalid(rows, invalid)
-    cut = masks.window_masks(pairs, rows, schema.width_window, schema.height_window, (raster.width, raster.height))
-    facts = labels.select("label_ord", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
-    return kept, cut.join(facts, "label_ord")
+    carried = ("category_id", "iscrowd")
+    return kept, masks.window_masks(pairs, rows, schema.width_window, schema.height_window, (raster.width, raster.height), carried)
 
 
 def image_rows(kept: DataFrame, start: int, images_dir: str, source_id: int, schema: windows.WindowSchema, date_captured, suffix: str) -> DataFrame:
