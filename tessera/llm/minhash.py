@@ -1,7 +1,7 @@
 """Near-duplicate documents: one-permutation MinHash, banded buckets, star-shaped candidate edges, full-set confirmation.
 
 1. Each whole text becomes the set of its distinct word shingles, a digest of that set, the keys of its buckets (one per
-   band of a densified one-permutation signature) and a 256-bit sketch.
+   band of a densified one-permutation signature) and a 512-bit sketch.
 2. Documents with equal sets collapse into a class; only class representatives (smallest id) go on, so a group of exact
    copies of any size costs one grouped minimum.
 3. In each bucket the first `hubs` members in a seeded order become hubs, found by a group-limited rank which trims every
@@ -28,8 +28,8 @@ from .common import written
 from .shingles import MASK, OnePermutation, WordHashes, mix, shingle_set
 
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, band_keys array<long>, sketch array<long>"
-#: Sketch bits: 256 one-bit minima.  Two sets of similarity s agree in about (1 + s) / 2 of them.
-SKETCH_BITS = 256
+#: Sketch bits: one-bit minima.  Two sets of similarity s agree in about (1 + s) / 2 of them.
+SKETCH_BITS = 512
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -100,8 +100,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs:
         pairs = pairs.join(facts.select(*(F.col(c).alias(c + side) for c in facts.columns)), F.col(side) == F.col(f"rid{side}")).drop(f"rid{side}")
     agree = F.lit(SKETCH_BITS) - sum(F.bit_count(F.element_at("sketcha", i).bitwiseXOR(F.element_at("sketchb", i))) for i in range(1, SKETCH_BITS // 64 + 1))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    # With at least 64 shingles the agreement of sets at the threshold lies more than four deviations above this bound.
-    likely = (agree >= SKETCH_BITS * (100 + threshold - 25) // 200) | (small < 64)
+    # Of 512 bits, sets at the threshold agree in 448 with a deviation of 7.5 to 9; the bound lies at a similarity 15 points lower.
+    likely = (agree >= SKETCH_BITS * (100 + threshold - 15) // 200) | (small < 100)
     pairs = written(pairs.filter((small * 100 >= large * threshold) & likely).select("a", "b", "na", "nb"), "op4-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op4-wanted")
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
