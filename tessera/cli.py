@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         add.add_argument(name)
     add.add_argument("width", type=int)
     add.add_argument("height", type=int)
+    add.add_argument("--tile-format", choices=("png", "jpg"), default="png")
     for name in ("id-attribute", "name-attribute", "super-attribute"):
         add.add_argument(f"--{name}", f"--{name.replace('-', '_')}", dest=name.replace("-", "_"))
     return top
@@ -61,7 +62,7 @@ def main(args: list[str] | None = None, ask: Callable[[str], str] = input, spark
         image, labels, path, out = map(existing, (o.image_path, o.labels_path, o.json_path, o.output_dir))
         dataset = load_dataset(spark, path)
         table, srid = read_labels(spark, labels)
-        dataset = append_dataset(dataset, out, open_raster(spark, image), [(o.width, o.height)], table, o.id_attribute, o.name_attribute, o.super_attribute, label_srid=srid)
+        dataset = append_dataset(dataset, out, open_raster(spark, image), [(o.width, o.height)], table, o.id_attribute, o.name_attribute, o.super_attribute, label_srid=srid, suffix=o.tile_format)
         save_dataset(dataset, path)
         print(f"Added to {path}, now version {dataset.info['version']}")
     return 0

@@ -1,4 +1,4 @@
-"""Image tiles: lossless PNG (or greyscale/colour raw), written where no file of the name exists."""
+"""Image tiles: lossless PNG, or JPEG by the file name's suffix, written where no file of the name exists."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jpeg import jpeg
+
 
 def png(pixels: np.ndarray) -> bytes:
     """8-bit PNG of (rows, cols, bands): one band grey, two grey with alpha, three colour, four colour with alpha; of more bands, the first three."""
@@ -85,7 +87,7 @@ def write(tiles: DataFrame, names: DataFrame) -> None:
             os.makedirs(os.path.dirname(path), exist_ok=True)
             draft = f"{path}.{os.getpid()}.part"
             with open(draft, "wb") as out:
-                out.write(png(cube))
+                out.write(jpeg(cube) if path.lower().endswith((".jpg", ".jpeg")) else png(cube))
             os.replace(draft, path)
 
     lines.foreachPartition(put)

@@ -197,9 +197,12 @@ def test_command_line(spark, scene, tmp_path):
     assert load_dataset(spark, other).info["description"] == "a set"
     geojson(tmp_path / "l.geojson")
     (tmp_path / "out").mkdir()
-    main(["add", scene[0], str(tmp_path / "l.geojson"), path, str(tmp_path / "out"), "64", "64", "--id-attribute", "cid", "--name_attribute", "cname"], ask, spark)
+    main(["add", scene[0], str(tmp_path / "l.geojson"), path, str(tmp_path / "out"), "64", "64", "--tile-format", "jpg", "--id-attribute", "cid", "--name_attribute", "cname"], ask, spark)
     done = load_dataset(spark, path)
     assert done.info["version"] == "1.0.0" and done.count("annotations") >= 2 and {r["iscrowd"] for r in done.annotations.collect()} == {0, 1}
+    for r in done.images.collect():
+        data = open(r["file_name"], "rb").read()
+        assert r["file_name"].endswith(".jpg") and data[:2] == b"\xff\xd8" and data[-2:] == b"\xff\xd9"
     with pytest.raises(SystemExit):
         main(["add", str(tmp_path / "none.tif"), path, path, path, "64", "64"], ask, spark)
 
