@@ -107,6 +107,17 @@ def test_frames_are_standard_jpeg():
     assert (jpeg.decode_first(frame) == frame.luma()).all() and (frame.luma()[::8, ::8].ravel() == data).all()
 
 
+def test_decoder_reads_ordinary_frames():
+    from tessera.sources.jpeg import jpeg as encode
+
+    y, x = np.mgrid[0:40, 0:52]
+    grey = (100 + 60 * np.sin(x / 9) + 40 * np.cos(y / 7)).clip(0, 255).astype(np.uint8)[:, :, None]
+    colour = np.concatenate([grey, 255 - grey, grey // 2], axis=2)
+    luma = colour @ np.array([0.299, 0.587, 0.114])
+    assert np.abs(jpeg.Frame(encode(grey)).luma()[:40, :52].astype(int) - grey[:, :, 0]).max() <= 3
+    assert np.abs(jpeg.Frame(encode(colour)).luma()[:40, :52] - luma).max() <= 3
+
+
 def test_shots_follow_histograms():
     still, other = np.eye(32)[3] * 100, np.eye(32)[20] * 100
     begins, _ = video.shots_of(np.array([still] * 10 + [other] * 10 + [still] * 5))
