@@ -7,8 +7,8 @@
 3. In each bucket the first `hubs` members in a seeded order become hubs, found by a group-limited rank which trims every
    map task's rows of a key before the shuffle.  Every other member is paired with the hubs only, so pairs are at most
    `hubs` times the bucket rows: a bucket of at most `hubs + 1` members yields all its pairs, a larger one a set of stars.
-4. Pairs whose sizes or sketches rule the threshold out are dropped (a sketch only where both sets are large enough for
-   its error to be negligible); the rest are confirmed on the full sets.
+4. Pairs whose sizes or sketches rule the threshold out never become rows (a sketch only where both sets are large
+   enough for its error to be negligible); the rest are confirmed on the full sets.
 5. Confirmed links are closed into components by alternating large-star and small-star steps.
 
 Defined cases: a null or word-less text has an empty set and is linked with nothing; a text with fewer words than a
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,14 +78,35 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def star_pairs(buckets: DataFrame, hubs: int) -> DataFrame:
-    """Distinct (a, b), a < b: every member of a bucket with each of the bucket's hubs.  `buckets`: key, rid."""
+def likely(one: Column, two: Column, threshold: int) -> Column:
+    """Whether sizes and sketches of two sets leave the threshold possible; `one`, `two`: structs of n and sketch.
+
+    Of 512 bits, sets at the threshold agree in 448 with a deviation of 7.5 to 9; the bound lies at a similarity 15 points
+    lower.  Sets too small for the sketch to be sure of are not judged by it.
+    """
+    agree = F.lit(SKETCH_BITS) - sum(F.bit_count(F.get(one["sketch"], F.lit(i)).bitwiseXOR(F.get(two["sketch"], F.lit(i)))) for i in range(SKETCH_BITS // 64))
+    small, large = F.least(one["n"], two["n"]), F.greatest(one["n"], two["n"])
+    return (small * 100 >= large * threshold) & ((agree >= SKETCH_BITS * (100 + threshold - 15) // 200) | (small < 100))
+
+
+def star_pairs(buckets: DataFrame, facts: DataFrame, hubs: int, threshold: int) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b: every member of a bucket with those of the bucket's hubs that may be similar enough.
+
+    `buckets`: key, rid.  `facts`: rid, n, sketch.  Hubs carry their sketches to the bucket's members, so a pair becomes a
+    row only when it has passed the screen.
+    """
     # The order among members is seeded by the bucket's key, so that different buckets of one group get different hubs.
     order = Window.partitionBy("key").orderBy(F.xxhash64("key", "rid"), "rid")
     ranked = buckets.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
     named = ranked.groupBy("key").agg(F.collect_list("rid").alias("named")).filter(F.size("named") > 1)
-    paired = buckets.join(named, "key").select("rid", F.explode("named").alias("hub")).filter("rid <> hub")
-    return paired.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
+    named = named.select("key", F.explode("named").alias("rid")).join(facts, "rid")
+    named = named.groupBy("key").agg(F.collect_list(F.struct("rid", "n", "sketch")).alias("named"))
+    met = buckets.join(named, "key").select("rid", "named").join(facts, "rid")
+    own = F.struct("n", "sketch")
+    hub = F.explode(F.filter("named", lambda h: (h["rid"] != F.col("rid")) & likely(own, h, threshold)))
+    pairs = met.select("rid", "n", hub.alias("hub")).select("rid", "n", F.col("hub.rid").alias("h"), F.col("hub.n").alias("hn"))
+    first = F.col("rid") < F.col("h")
+    return pairs.select(F.least("rid", "h").alias("a"), F.greatest("rid", "h").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs: int) -> DataFrame:
@@ -94,15 +115,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs:
     `docs`: doc_id, text.  `classes`: rid, n, band_keys, sketch.  `threshold`: percent of the union.
     """
     buckets = classes.select("rid", F.explode("band_keys").alias("key"))
-    pairs = star_pairs(buckets, hubs)
-    facts = classes.select("rid", "n", "sketch")
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(*(F.col(c).alias(c + side) for c in facts.columns)), F.col(side) == F.col(f"rid{side}")).drop(f"rid{side}")
-    agree = F.lit(SKETCH_BITS) - sum(F.bit_count(F.element_at("sketcha", i).bitwiseXOR(F.element_at("sketchb", i))) for i in range(1, SKETCH_BITS // 64 + 1))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    # Of 512 bits, sets at the threshold agree in 448 with a deviation of 7.5 to 9; the bound lies at a similarity 15 points lower.
-    likely = (agree >= SKETCH_BITS * (100 + threshold - 15) // 200) | (small < 100)
-    pairs = written(pairs.filter((small * 100 >= large * threshold) & likely).select("a", "b", "na", "nb"), "op4-pairs")
+    pairs = written(star_pairs(buckets, classes.select("rid", "n", "sketch"), hubs, threshold), "op4-pairs")
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op4-wanted")
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
     sets = written(sets, "op4-sets")
@@ -134,7 +147,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, hubs: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, hubs: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of `threshold` percent similarity or more, kept tells whether
