@@ -71,6 +71,8 @@ class OnePermutation:
     depend on where the other empty bins lie (optimal densification), and the search always ends.
     """
 
+    FEW = 16
+
     def __init__(self, bands: int = 32, rows: int = 4, seed: int = 20250101):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
         bits = self.bins.bit_length() - 1
@@ -89,8 +91,13 @@ class OnePermutation:
         values = sorted_set[np.minimum(start, len(sorted_set) - 1)]
         if not full.all():
             empty = np.flatnonzero(~full)
-            order = self.donors[empty]
-            values[empty] = values[order[np.arange(len(empty)), full[order].argmax(axis=1)]]
+            for tries in (self.FEW, self.bins):  # few donors do for nearly all bins; the rest look through all of them
+                order = self.donors[empty, :tries]
+                at = full[order].argmax(axis=1)
+                donor = order[np.arange(len(empty)), at]
+                found = full[donor]
+                values[empty[found]] = values[donor[found]]
+                empty = empty[~found]
         return values
 
     def band_keys(self, sorted_set: np.ndarray) -> np.ndarray:
