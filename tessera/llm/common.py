@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -41,26 +38,3 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
-
-
-def safe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` marked for broadcast where it has at most `max_rows` rows; beyond that Spark shuffles it.  Runs a count."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 16_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `max_bytes` of text each (at least one row), so that one part's scratch memory is bounded."""
-    at = batch.schema.get_field_index(column)
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-    start = total = 0
-    for i, n in enumerate(lengths):
-        if total and total + n > max_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += int(n)
-    if start < batch.num_rows:
-        yield batch.slice(start)
