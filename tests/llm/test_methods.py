@@ -179,7 +179,7 @@ def test_counterfactual_penalty_evens_identity_terms(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
 
     def gap(swap):
-        of = toxicity.train(docs, labels, swap=swap).scorer()
+        of = toxicity.train(docs, labels, swap=swap, l1=0.0).scorer()
         return abs(of("a muslim neighbour") - of("a christian neighbour")), of("you scumbag")
 
     free, _ = gap(0.0)
