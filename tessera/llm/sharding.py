@@ -5,7 +5,8 @@ loads one bucket at a time, brings it into an order of its own (by record hash),
 writes it.  The global order is (bucket, place in bucket); it is cut into `shards` runs whose lengths differ by at most
 one row (law "rows").  Everything follows from the records and the seed, so a rerun or a retried task gives the same.
 
-Bucket counts (one number per bucket) come to the driver; their number is bytes / bucket_bytes.
+Bucket counts (one number per bucket) come to the driver: bytes / bucket_bytes of them, `max_buckets` at most; where that
+bound is met (at 4 TB by default), buckets grow instead, to 100 MB at 100 TB.
 
 Defined cases: nulls in any column hash like values; equal records differ in nothing, so which of them comes first does
 not matter; columns of the input named shard or slot are replaced; an empty table gives an empty result.
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 
 def fisher_yates(n: int, rng: np.random.Generator) -> list[int]:
     order = list(range(n))
@@ -30,16 +33,17 @@ def fisher_yates(n: int, rng: np.random.Generator) -> list[int]:
     return order
 
 
-def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 99, text: str = "text", bucket_bytes: int = 16_000_000) -> DataFrame:
+def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 99, text: str = "text", bucket_bytes: int = 4_000_000, max_buckets: int = 1_000_000) -> DataFrame:
     """`df` with `shard` int and `slot` long (gapless from 0 in its shard)."""
     df = df.drop("shard", "slot")
     names = df.columns
     total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
-    buckets = max(1, math.ceil((total[0] + 64 * total[1]) / bucket_bytes))
-    hashed = df.withColumn("x_tie", F.xxhash64(F.lit(seed), *(F.col(c) for c in names)))
-    scattered = hashed.withColumn("x_bucket", F.pmod(F.xxhash64(F.lit(seed), "x_tie"), F.lit(buckets)).cast("int"))
+    buckets = min(max_buckets, max(1, math.ceil((total[0] + 64 * total[1]) / bucket_bytes)))
+    tie, of = free_name(df, "record_hash"), free_name(df, "bucket")
+    hashed = df.withColumn(tie, F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in names)))
+    scattered = hashed.withColumn(of, F.pmod(F.xxhash64(F.lit(seed), tie), F.lit(buckets)).cast("int"))
     counts = np.zeros(buckets, np.int64)
-    for bucket, n in scattered.groupBy("x_bucket").count().collect():
+    for bucket, n in scattered.groupBy(of).count().collect():
         counts[bucket] = n
     begins = np.concatenate([[0], np.cumsum(counts)])
     rows = int(begins[-1])
@@ -48,14 +52,14 @@ def shuffle_to_shards(df: DataFrame, shards: int = 16, seed: int = 99, text: str
 
     def run(key, table):
         bucket = key[0].as_py()
-        table = table.take(pa.compute.sort_indices(table, sort_keys=[("x_tie", "ascending")]))
+        table = table.take(pa.compute.sort_indices(table, sort_keys=[(tie, "ascending")]))
         order = fisher_yates(table.num_rows, np.random.Generator(np.random.PCG64([seed, bucket])))
         table = table.select(names).take(pa.array(order, pa.int64()))
         rank = begins[bucket] + np.arange(table.num_rows)
         shard = np.searchsorted(starts, rank, side="right") - 1
         return table.append_column("shard", pa.array(shard.astype(np.int32))).append_column("slot", pa.array(rank - starts[shard]))
 
-    return scattered.groupBy("x_bucket").applyInArrow(run, schema)
+    return scattered.groupBy(of).applyInArrow(run, schema)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> DataFrame:
