@@ -38,3 +38,15 @@ def free_name(df: DataFrame, wish: str) -> str:
     while wish.lower() in taken:
         wish += "_"
     return wish
+
+
+def runs_of(sizes: list[int], most: int):
+    """(start, end) of runs of items that together have about `most` (at least one item each)."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if sizes:
+        yield start, len(sizes)

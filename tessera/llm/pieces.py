@@ -17,10 +17,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import runs_of
+
 MARK = "▁"
+#: Text encoded at a time in a task.
+PART_BYTES = 2_000_000
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -33,7 +38,7 @@ def default_model() -> str:
 class ChunkEncoder:
     """Encodes texts with one model; equal to the library's encode() without begin or end ids."""
 
-    def __init__(self, model: str, table_limit: int = 300_000):
+    def __init__(self, model: str, table_limit: int = 150_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -65,20 +70,7 @@ class ChunkEncoder:
         return [list(chain.from_iterable(map(get, c))) for c in found]
 
 
-def groups_of(texts: list, max_chars: int = 4_000_000):
-    """(start, end) of runs of texts with about `max_chars` together."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if total and total + n > max_chars:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if texts:
-        yield start, len(texts)
-
-
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_limit: int = 300_000) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_limit: int = 150_000) -> DataFrame:
     """`df` with a column `ids` array<int>: the ids of each whole text; a null text counts as empty (an empty array).
 
     A column of `df` named like `ids` is replaced; all others stay as they are.  Repeated rows are encoded alike.
@@ -91,9 +83,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | Non
     def run(batches):
         encoder = ChunkEncoder(model, table_limit)
         for whole in batches:
-            texts = whole.column(at).to_pylist()
-            for start, end in groups_of(texts):
-                batch, found = whole.slice(start, end - start), encoder.encode(texts[start:end])
+            lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(at)), 0).to_pylist()
+            for start, end in runs_of(lengths, PART_BYTES):
+                batch = whole.slice(start, end - start)
+                found = encoder.encode(batch.column(at).to_pylist())
                 ends = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=ends[1:])
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))

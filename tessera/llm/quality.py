@@ -18,11 +18,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .pieces import ChunkEncoder, default_model, groups_of
+from .common import runs_of, written
+from .pieces import PART_BYTES, ChunkEncoder, default_model
 from .shingles import WordHashes, window_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -84,10 +85,10 @@ def measures(docs: DataFrame, model: str | None = None) -> DataFrame:
         names = [part.split()[0] for part in SCHEMA.split(", ")]
         types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), *[pa.float64()] * 3]
         for whole in batches:
-            texts = whole.column(1).to_pylist()
-            for start, end in groups_of(texts):
+            lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()
+            for start, end in runs_of(lengths, PART_BYTES):
                 rows = []
-                part = [t or "" for t in texts[start:end]]
+                part = [t or "" for t in whole.column(1)[start:end].to_pylist()]
                 for doc_id, lang, text, ids in zip(whole.column(0)[start:end].to_pylist(), whole.column(2)[start:end].to_pylist(), part, encoder.encode(part), strict=True):
                     words = text.encode("utf-8", "surrogatepass").split()
                     chars = len(text) - sum(map(text.count, BLANKS))
