@@ -22,13 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import runs_of, written
 
 BUCKETS = 1 << 16
 SCALE = 1024
+#: Text scored at a time in a task; its scratch arrays take some 30 times as much.
+PART_BYTES = 1_000_000
 UNKNOWN = "und"
 #: Country suffixes and the language that they speak for.  Fixed values.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "be": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en"}
@@ -50,14 +53,14 @@ def gram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([max(0, len(p) - 3) for p in parts], np.int64)
     raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     if len(raw) < 4:
-        return np.empty(0, np.int64), np.concatenate([[0], np.cumsum(sizes)])
+        return np.empty(0, np.uint16), np.concatenate([[0], np.cumsum(sizes)])
     grams = raw[:-3] | (raw[1:-2] << np.uint32(8)) | (raw[2:-1] << np.uint32(16)) | (raw[3:] << np.uint32(24))
-    keys = ((grams * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
+    keys = ((grams * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
     begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
-    inside = np.zeros(len(keys) + 4, np.int32)
+    inside = np.zeros(len(keys) + 4, np.int8)
     np.add.at(inside, begins[sizes > 0], 1)
     np.add.at(inside, (begins + sizes)[sizes > 0], -1)
-    return keys[np.cumsum(inside)[: len(keys)] > 0], np.concatenate([[0], np.cumsum(sizes)])
+    return keys[np.cumsum(inside, dtype=np.int8)[: len(keys)] > 0], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_languages: int = 32, alpha: float = 0.05, seed: int = 3) -> TextModel:
@@ -75,9 +78,8 @@ def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_lang
 
     def count(batches):
         for batch in batches:
-            keys, ends = gram_buckets(batch.column(0).to_pylist())
-            for i, lang in enumerate(batch.column(1).to_pylist()):
-                k, n = np.unique(keys[ends[i] : ends[i + 1]], return_counts=True)
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                k, n = np.unique(gram_buckets([text.as_py()])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
 
     table = np.zeros((BUCKETS, len(languages)))
@@ -96,8 +98,9 @@ def text_gains(docs: DataFrame, model: TextModel, text: str = "text") -> DataFra
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(at)), 0).to_pylist()
+            for start, end in runs_of(lengths, PART_BYTES):
+                batch = whole.slice(start, end - start)
                 keys, ends = gram_buckets(batch.column(at).to_pylist())
                 sizes = np.diff(ends)
                 sums = np.zeros((len(sizes), n_lang), np.int64)
