@@ -9,7 +9,7 @@
    `hubs` times the bucket rows: a bucket of at most `hubs + 1` members yields all its pairs, a larger one a set of stars.
 4. Pairs whose sizes or sketches rule the threshold out never become rows (a sketch only where both sets are large
    enough for its error to be negligible); the rest are confirmed on the full sets.
-5. Confirmed links are closed into components by alternating large-star and small-star steps.
+5. Confirmed links are contracted part by part and closed into components by large-star and small-star steps.
 
 Defined cases: a null or word-less text has an empty set and is linked with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows of an id count as one document; a null id is its own class with a null component.
@@ -125,13 +125,43 @@ def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs:
     return joined.select("a", "b", "na", "nb", inter.alias("inter")).filter(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * threshold)
 
 
+def contracted(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
+    """Edges (u, v) with the same components but no cycles within a part of `per_task` edges: a partial aggregation.
+
+    A dense group has many times more links than members; each part keeps a star per component that it sees.
+    """
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        stars = [(x, root(x)) for x in list(parent)]
+        stars = [s for s in stars if s[0] != s[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    parts = max(1, -(-edges.count() // per_task))
+    return edges.repartition(parts).mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node with an edge in (a, b).
 
-    Large-star and small-star in turn until the edges no longer change; every round is written to the shared folder, and
-    a hot node's neighbours are reduced by a partial minimum and rejoined, never gathered.
+    Edges are contracted part by part first.  Then large-star and small-star in turn until the edges no longer change;
+    every round is written to the shared folder, and a hot node's neighbours are reduced by a partial minimum and
+    rejoined, never gathered.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "op4-edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "op4-links")
+    edges = written(contracted(edges), "op4-edges")
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
