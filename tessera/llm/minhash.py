@@ -6,10 +6,14 @@
    copies of any size costs one grouped minimum.
 3. In each bucket the first `hubs` members in a seeded order become hubs, found by a group-limited rank which trims every
    map task's rows of a key before the shuffle.  Every other member is paired with the hubs only, so pairs are at most
-   `hubs` times the bucket rows: a bucket of at most `hubs + 1` members yields all its pairs, a larger one a set of stars.
+   `hubs` times the bucket rows: a bucket of at most `hubs + 1` members yields all its pairs, a larger one a set of stars
+   (step 6 does the rest).
 4. Pairs whose sizes or sketches rule the threshold out never become rows (a sketch only where both sets are large
    enough for its error to be negligible); the rest are confirmed on the full sets.
 5. Confirmed links are contracted part by part and closed into components by large-star and small-star steps.
+6. Members of larger buckets that hold more than one component are looked at again: pairs of different components that
+   share one of their rarest shingles are compared on the full sets, and the components closed again.  The prefixes of rare shingles
+   are as long as the threshold asks for, so between such members no link is lost.
 
 Defined cases: a null or word-less text has an empty set and is linked with nothing; a text with fewer words than a
 shingle is one shingle; repeated rows of an id count as one document; a null id is its own class with a null component.
@@ -30,6 +34,8 @@ from .shingles import MASK, OnePermutation, WordHashes, mix, shingle_set
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, band_keys array<long>, sketch array<long>"
 #: Sketch bits: one-bit minima.  Two sets of similarity s agree in about (1 + s) / 2 of them.
 SKETCH_BITS = 512
+#: Bins that count shingles.  Which shingles are rare only matters for speed, so those that fall together do no harm.
+COUNT_BINS = 1 << 19
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -125,6 +131,101 @@ def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs:
     return joined.select("a", "b", "na", "nb", inter.alias("inter")).filter(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * threshold)
 
 
+def unresolved(classes: DataFrame, merged: DataFrame, hubs: int) -> DataFrame:
+    """Distinct (rid, comp) of the members of buckets of more than `hubs + 1` members and more than one component."""
+    buckets = classes.select("rid", F.explode("band_keys").alias("key"))
+    crowded = buckets.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > hubs + 1).select("key")
+    within = buckets.join(crowded, "key").join(merged.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
+    within = written(within, "op4-crowded")
+    mixed = within.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
+    return within.join(mixed, "key").select("rid", "comp").distinct()
+
+
+def prefix(found: np.ndarray, counts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest shingles of a set, their places in its order, and whether a set no smaller than this one may need them.
+
+    Sets of n and m shingles that are similar enough share `least(n, m)` of them or more, so in an order that is the same
+    for all sets, the first n - least + 1 of one and the first m - least + 1 of the other have a shingle in common.  `least`
+    grows with the other set's size.  A shingle that only one set holds is left out.
+    """
+    n = len(found)
+    often = counts[found & np.uint64(COUNT_BINS - 1)]
+    places = np.arange(n - least(n, -(-n * threshold // 100), threshold) + 1)
+    order = np.lexsort((found, often))[: len(places)]
+    shared = often[order] > 1
+    return found[order][shared], places[shared], places[shared] <= n - least(n, n, threshold)
+
+
+def least(n, m, threshold: int):
+    """How many shingles sets of n and m share at the threshold."""
+    return -(-threshold * (n + m) // (100 + threshold))
+
+
+def hidden_links(docs: DataFrame, left: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between members of different components.  `left`: rid, comp.
+
+    Every link of the threshold between two rows of `left` with different comp is found.
+    """
+    sets = full_sets(docs.join(left.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
+    sets = written(sets.join(left.select(F.col("rid").alias("doc_id"), "comp"), "doc_id"), "op4-left-sets")
+
+    def count(batches):
+        counts = np.zeros(COUNT_BINS, np.uint32)
+        for batch in batches:
+            found = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            counts += np.bincount((found & np.uint64(COUNT_BINS - 1)).astype(np.int64), minlength=COUNT_BINS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+    counts = np.zeros(COUNT_BINS, np.int64)
+    for row in sets.select("shingles").coalesce(32).mapInArrow(count, "counts binary").toLocalIterator():
+        counts += np.frombuffer(row["counts"], np.uint32)
+
+    def keyed(batches):
+        for batch in batches:
+            of = [prefix(x.values.to_numpy(zero_copy_only=False).view(np.uint64), counts, threshold) for x in batch.column(2)]
+            sizes = [len(x[0]) for x in of]
+            rid, comp = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+            keys, places, short = (np.concatenate(x) for x in zip(*of, strict=True)) if of else (np.empty(0, t) for t in (np.uint64, np.int64, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rid), pa.array(comp), pa.array(places), pa.array(short)], names=["key", "rid", "comp", "place", "short"])
+
+    def linked(batches):
+        for batch in batches:
+            for members in batch.column(0):
+                rid, comp, place, lists = (members.values.field(k) for k in ("rid", "comp", "place", "shingles"))
+                a, b = similar_pairs(rid.to_numpy(), comp.to_numpy(), place.to_numpy(), lists, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rows = written(sets.select("doc_id", "comp", "shingles").mapInArrow(keyed, "key long, rid long, comp long, place long, short boolean"), "op4-keys")
+    # The smaller set of a pair has the shingle in its short prefix.
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or("short").alias("short")).filter("least <> most AND short").select("key")
+    rows = rows.join(mixed, "key").join(sets.select(F.col("doc_id").alias("rid"), "shingles"), "rid")
+    met = rows.groupBy("key").agg(F.collect_list(F.struct("rid", "comp", "place", "shingles")).alias("members"))
+    return met.select("members").mapInArrow(linked, "a long, b long").distinct()
+
+
+def similar_pairs(rid: np.ndarray, comp: np.ndarray, place: np.ndarray, lists: pa.ListArray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of different comp whose sets have `threshold` percent similarity or more, by counting what they share."""
+    order = np.argsort(comp, kind="stable")
+    lists = lists.take(pa.array(order))
+    rid, comp, place, sizes = rid[order], comp[order], place[order], np.diff(lists.offsets.to_numpy())
+    codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    marks = np.zeros(len(codes), np.int32)
+    found = [(rid[:0], rid[:0])]
+    for k, begin in enumerate(np.searchsorted(comp, comp)):  # each with those of all components before its own
+        both = least(sizes[:begin], sizes[k], threshold)
+        at = np.flatnonzero((place[:begin] <= sizes[:begin] - both) & (place[k] <= sizes[k] - both))
+        if len(at):
+            own, n = codes[starts[k] : starts[k + 1]], sizes[at]
+            ends = np.cumsum(n)
+            marks[own] = 1
+            inter = np.add.reduceat(marks[codes[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)]], ends - n)
+            marks[own] = 0
+            near = rid[at][inter >= both[at]]
+            found.append((np.minimum(near, rid[k]), np.maximum(near, rid[k])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def contracted(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
     """Edges (u, v) with the same components but no cycles within a part of `per_task` edges: a partial aggregation.
 
@@ -191,6 +292,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands:
     classes = written(classes, "op4-classes")
     found = links(docs, classes, width, threshold, hubs)
     merged = components(found)
+    left = written(unresolved(classes, merged, hubs), "op4-left")
+    if not left.isEmpty():
+        more = written(hidden_links(docs, left, width, threshold), "op4-more")
+        if not more.isEmpty():
+            merged = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     of_class = classes.select("set_hash", "rid").join(merged, F.col("rid") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rid").alias("found_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found_id")).otherwise(F.col("doc_id"))

@@ -297,3 +297,36 @@ def test_windows_and_words():
     assert quality.repeated_words(b"a b c d e f g h a b c d e f g h".split(), hashes) == 16
     assert quality.repeated_words(b"a b c d e f g h".split(), hashes) == 0
     assert len(shingles.shingle_set("A a b", hashes)) == 1
+
+
+def test_pairs_hidden_in_boilerplate_equal_brute_force(spark):
+    """Hundreds of texts about 0.70 to each other hide near-copy pairs of 0.76 and 0.80."""
+    rng = np.random.default_rng(9)
+    shared = [f"w{i}" for i in range(254)]
+    rows = []
+    for i in range(400):
+        own = [f"x{i}_{k}" for k in range(54)]
+        if i % 8 == 1:
+            own = texts[-1][: int(rng.integers(14, 24))] + own
+            own = own[:54]
+        texts = [own] if i % 8 == 0 else [*texts, own]
+        rows.append((i, " ".join(shared + own)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = brute_components(sets)
+    assert 30 <= sum(want[i] != i for i in want) <= 60 and max(Counter(want.values()).values()) == 2
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), hubs=2).collect()}
+    assert got == want
+
+
+def test_prefixes_miss_no_pair():
+    """Sets of unlike sizes at the threshold share a key, and the smaller one may need it."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = sorted(int(x) for x in rng.integers(1, 400, 2))
+        inter = min(n, -(-75 * (n + m) // 175))
+        if 100 * inter < 75 * (n + m - inter):
+            continue
+        both = rng.integers(0, 2**63, n + m - inter).astype(np.uint64)
+        one, two, counts = np.sort(both[:n]), np.sort(both[n - inter :]), rng.integers(2, 9, minhash.COUNT_BINS)
+        (a, _, short), (b, _, _) = (minhash.prefix(x, counts, 75) for x in (one, two))
+        assert len(np.intersect1d(a[short], b))
