@@ -6,6 +6,8 @@ with words dropped, swapped in and run on (seeded); negatives are a bounded samp
 template trigram, and scrambled templates.  The unknown class is calibrated: the probability a prediction must reach is
 the smallest at which no more than `false_rate` of held-back negatives pass.  A prediction counts once the paragraph also
 holds at least `confirm` of the word pairs of one of the family's templates (containment; a paragraph may hold more).  A
+paragraph of more than a dozen words is judged by overlapping windows of about template length, and may hold several
+families; as a whole only where no window counts.  A
 paragraph that holds too few template pairs for any template cannot be confirmed whatever the model says, so the model is
 not asked about it.
 
@@ -44,6 +46,8 @@ TEMPLATES = {
 FAMILIES = sorted(TEMPLATES)
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 BUCKETS = 1 << 15
+#: Widths and steps in words of the windows of longer paragraphs; a template lies whole in one of about its length.
+WINDOWS = ((12, 4), (20, 6), (32, 8))
 
 
 def words_of(line: str) -> list[str]:
@@ -183,19 +187,38 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6, table_limit: int =
     """
 
     def run(batches):
-        memo: dict[str, tuple | None] = {}
+        memo: dict[str, list] = {}
         known = {p for ts in TEMPLATE_PAIRS.values() for t in ts for p in t}
         least = min(min(len(t) for t in ts) for ts in TEMPLATE_PAIRS.values()) * confirm
 
+        def judged(words: list[str]):
+            if len(known.intersection(zip(words, words[1:], strict=False))) >= least:
+                text = " ".join(words)
+                said = model.predict(text)
+                share = confirmed(text, said[0], confirm) if said else 0.0
+                return (*said, share) if share else None
+            return None
+
         def verdict(line: str):
             if line in memo:
                 return memo[line]
             words = words_of(line)
-            hit = None
-            if len(known.intersection(zip(words, words[1:], strict=False))) >= least:
-                said = model.predict(line)
-                if said:
-                    hit = (*said, confirmed(line, said[0], confirm))
+            whole = judged(words)
+            pairs = list(zip(words, words[1:], strict=False)) if len(words) > WINDOWS[0][0] else []
+            found = []
+            marks = np.concatenate([[0], np.cumsum([p in known for p in pairs])]) if pairs else None
+            for width, step in WINDOWS if pairs else ():
+                for at in range(0, len(words) - width + step, step):
+                    end = min(at + width, len(words))
+                    if end - at > 1 and marks[end - 1] - marks[at] >= least and (part := judged(words[at:end])):
+                        found.append((part, at, end))
+            # The surest windows first; those that overlap a surer one say nothing more.
+            hit, taken = {}, []
+            for part, at, end in sorted(found, key=lambda x: (-x[0][2], -x[0][1], x[1:])):
+                if all(end <= b or at >= e for b, e in taken):
+                    hit.setdefault(part[0], part)
+                    taken.append((at, end))
+            hit = sorted(hit.values()) or ([whole] if whole else [])
             if len(line) < 200:
                 if len(memo) >= table_limit:
                     memo.clear()
@@ -209,8 +232,7 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6, table_limit: int =
                 text, at, n, hits = text.as_py() or "", 0, 0, []
                 for line in text.split("\n"):
                     if line.strip():
-                        hit = verdict(line)
-                        if hit and hit[2]:
+                        for hit in verdict(line):
                             hits.append({"paragraph": n, "start": at, "length": len(line), "family": hit[0], "probability": round(hit[1], 6), "template_share": round(hit[2], 6)})
                         n += 1
                     at += len(line) + 1

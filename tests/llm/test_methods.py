@@ -330,3 +330,16 @@ def test_prefixes_miss_no_pair():
         one, two, counts = np.sort(both[:n]), np.sort(both[n - inter :]), rng.integers(2, 9, minhash.COUNT_BINS)
         (a, _, short), (b, _, _) = (minhash.prefix(x, counts, 75) for x in (one, two))
         assert len(np.intersect1d(a[short], b))
+
+
+def test_licences_inside_long_paragraphs(spark, docs):
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for family, templates in licences.TEMPLATES.items():
+        for template in templates[:1]:
+            for n in (30, 100, 1000):
+                words = [f"plain{i}" for i in rng.integers(0, 500, n)]
+                rows.append((len(rows), " ".join([*words[: n // 2], template, *words[n // 2 :]])))
+                want[rows[-1][0]] = family
+    frame = spark.createDataFrame([*rows, (len(rows), " ".join(words))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["families"] for r in licences.scan(frame, licences.train(docs)).collect()}
+    assert got.pop(len(rows)) == [] and {i: f for i, f in got.items() if f != [want[i]]} == {}
