@@ -5,27 +5,32 @@ piece of the vocabulary holds a marker after another character, no merge can cro
 text splits into chunks (a run of markers and what follows up to the next run) that can be segmented alone.  A task
 segments each distinct chunk once, keeps it in a table, and joins ids back by the chunks' positions.
 
-The table is bounded (`table_limit` chunks; then it starts anew), never leaves its task, and needs no shuffle: at corpus
-scale a global table of distinct chunks would itself be corpus-sized, and joining positions back would shuffle every word.
-A vocabulary with crossing pieces, or a model that normalises beyond this form, is refused.
+The table is bounded by `table_units` (about 16 bytes each; when full it starts anew), never leaves its task, and needs no
+shuffle: at corpus scale a global table of distinct chunks would itself be corpus-sized, and joining positions back would
+shuffle every word.  A vocabulary with crossing pieces, or a model that normalises beyond this form, is refused.
+
+Defined cases: a null text counts as empty and has no ids; no ids (or null) decode to the empty string; very long texts
+are read whole, cut at blanks into segments of about `PART_BYTES` while they are chunked; repeated rows agree; columns named like an
+output are replaced and all others pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of
+from .common import frugal, text_runs
 
 MARK = "▁"
 #: Text encoded at a time in a task.
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
+BLANKS = f" {MARK}"
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -38,65 +43,77 @@ def default_model() -> str:
 class ChunkEncoder:
     """Encodes texts with one model; equal to the library's encode() without begin or end ids."""
 
-    def __init__(self, model: str, table_limit: int = 150_000):
+    def __init__(self, model: str, table_units: int = 2_000_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.limit, self.table, self.units = table_limit, {}, 0
+        self.limit, self.table, self.units = table_units, {}, 0
         if any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in range(self.model.get_piece_size())):
             raise ValueError("a piece crosses a whitespace marker; texts cannot be cut into chunks")
-        for probe in ("  a  b ", "ａ\n\t", "é", " x", "ﬁ"):
+        for probe in ("  a  b ", "ａ\n\t", "é", " x", "ﬁ"):
             if self.encode([probe])[0] != self.model.encode(probe):
                 raise ValueError("the model normalises texts; chunks would not equal whole texts")
 
-    def chunks(self, text: str | None) -> list[str]:
-        return CHUNKS.findall(MARK + text.replace(" ", MARK)) if text else []
+    def chunks(self, segment: str) -> list[str]:
+        return CHUNKS.findall(segment.replace(" ", MARK))
 
-    def learn(self, found: list[list[str]]) -> None:
+    def learn(self, found: list[str]) -> None:
         """Segment what the table lacks.  The library puts one marker before a text itself; a lone marker is one piece."""
-        if self.units > self.limit * 24:
+        if self.units > self.limit:
             self.table, self.units = {}, 0
         table = self.table
-        new = [c for c in dict.fromkeys(chain.from_iterable(found)) if c not in table]
+        new = [c for c in dict.fromkeys(found) if c not in table]
         if new:
             for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-                table[chunk] = ids or [self.model.piece_to_id(MARK)]
-                self.units += 8 + len(ids) + len(chunk) // 4
+                table[chunk] = tuple(ids) or (self.model.piece_to_id(MARK),)
+                self.units += 12 + (len(ids) + len(chunk) // 4) // 2
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        found = [self.chunks(t) for t in texts]
-        self.learn(found)
-        get = self.table.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in found]
-
-
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_limit: int = 150_000) -> DataFrame:
-    """`df` with a column `ids` array<int>: the ids of each whole text; a null text counts as empty (an empty array).
-
-    A column of `df` named like `ids` is replaced; all others stay as they are.  Repeated rows are encoded alike.
-    """
+        return [self.encode_text(t) for t in texts]
+
+    def encode_text(self, text: str | None) -> list[int]:
+        ids: list[int] = []
+        for segment in segments(text):
+            found = self.chunks(segment)
+            self.learn(found)
+            ids.extend(chain.from_iterable(map(self.table.__getitem__, found)))
+        return ids
+
+
+def segments(text: str | None, most: int = PART_BYTES):
+    """The marked text in parts of about `most` characters, each of which begins with a run of blanks or markers."""
+    text = MARK + text if text else ""
+    start = 0
+    while start < len(text):
+        end = start + most
+        while end < len(text) and not (text[end] in BLANKS and text[end - 1] not in BLANKS):
+            end += 1
+        yield text[start:end] if start or end < len(text) else text
+        start = end
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_units: int = 2_000_000) -> DataFrame:
+    """`df` with a column `ids` array<int>: the ids of each whole text."""
     model = model or default_model()
     df = df.drop(ids)
     schema = df.select("*", F.lit(None).cast("array<int>").alias(ids)).schema
     at = df.columns.index(text)
 
     def run(batches):
-        encoder = ChunkEncoder(model, table_limit)
+        encoder = ChunkEncoder(model, table_units)
         for whole in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(at)), 0).to_pylist()
-            for start, end in runs_of(lengths, PART_BYTES):
-                batch = whole.slice(start, end - start)
+            for batch in text_runs(whole, at, PART_BYTES):
                 found = encoder.encode(batch.column(at).to_pylist())
                 ends = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) for x in found], out=ends[1:])
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*whole.schema.names, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
-    """`df` with a column `text`: the library's decode() of each row's ids; null or no ids give the empty string."""
+    """`df` with a column `text`: the library's decode() of each row's ids."""
     model = model or default_model()
     df = df.drop(text)
     schema = df.select("*", F.lit(None).cast("string").alias(text)).schema
@@ -106,13 +123,31 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model)
+        for batch in batches:
+            decoded = pa.array([processor.decode(x.as_py() or []) for x in batch.column(at)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, text])
+
+    return df.mapInArrow(frugal(run), schema)
+
+
+def digests(df: DataFrame, text: str = "text", model: str | None = None, table_units: int = 2_000_000) -> DataFrame:
+    """`df` without its text and with n_tokens, ids_sha256 (ids in decimal, joined by commas) and decoded_sha256.
+
+    Encoding, decoding and hashing share one pass, so that ids and decoded texts never leave their task.
+    """
+    model = model or default_model()
+    rest = [c for c in df.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
+    df = df.select(*(f"`{c}`" for c in rest), text)
+    schema = df.select(*(f"`{c}`" for c in rest), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+
+    def run(batches):
+        encoder = ChunkEncoder(model, table_units)
+        names = [str(i) for i in range(encoder.model.get_piece_size())].__getitem__
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                lists = batch.column(at)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                parts = [part.tolist() for part in np.split(flat, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(processor.decode(parts, num_threads=1) if parts else [], pa.string())], names=[*whole.schema.names, text])
-
-    return df.mapInArrow(run, schema)
+            for batch in text_runs(whole, len(rest), PART_BYTES):
+                found = encoder.encode(batch.column(len(rest)).to_pylist())
+                said = [hashlib.sha256(",".join(map(names, x)).encode()).hexdigest() for x in found]
+                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in encoder.model.decode(found, num_threads=1)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array([len(x) for x in found], pa.int64()), pa.array(said, pa.string()), pa.array(back, pa.string())], names=schema.names)
+
+    return df.mapInArrow(frugal(run), schema)

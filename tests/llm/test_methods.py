@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tessera.llm import chat, jpeg, language, licences, minhash, mixing, pieces, quality, shingles, toxicity, video
+from tessera.llm.common import Scratch
 from tessera.llm.queries import QUERIES, read_table
 
 SF = "/root/testdata/sf0.01"
@@ -75,7 +76,7 @@ def test_candidate_recall():
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
-    rows = {(r["node"], r["component"]) for r in minhash.components(edges).collect()}
+    rows = {(r["node"], r["component"]) for r in minhash.components(edges, Scratch(spark, "test")).collect()}
     assert rows == {(i, 0) for i in range(61)}
 
 
@@ -86,11 +87,29 @@ def test_chunks_encode_like_the_library(text):
     assert encoder.encode([text])[0] == encoder.model.encode(text)
 
 
+def test_pieces_of_all_documents_equal_the_library(spark, docs):
+    processor = pieces.ChunkEncoder(pieces.default_model()).model
+    got = {r["doc_id"]: r for r in QUERIES["op5_sentencepiece"](spark, SF).collect()}
+    for d in docs.select("doc_id", "text").collect():
+        ids = processor.encode(d["text"] or "")
+        said, back = (hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), processor.decode(ids)))
+        assert tuple(got[d["doc_id"]])[1:] == (len(ids), said, back)
+
+
+def test_long_texts_are_cut_at_blanks():
+    text = "".join(" " * (i % 3) + "▁" * (i % 2) + f"w{i}" for i in range(400))
+    parts = list(pieces.segments(text, 50))
+    assert "".join(parts) == "▁" + text and len(parts) > 20
+    encoder = pieces.ChunkEncoder(pieces.default_model())
+    chunks = [c for p in parts for c in encoder.chunks(p)]
+    assert chunks == encoder.chunks("▁" + text) and encoder.encode([text])[0] == encoder.model.encode(text)
+
+
 def test_chunk_table_is_bounded():
-    encoder = pieces.ChunkEncoder(pieces.default_model(), table_limit=10)
+    encoder = pieces.ChunkEncoder(pieces.default_model(), table_units=600)
     for i in range(200):
         encoder.encode([f"word{i} other{i}"])
-    assert encoder.units < 1000
+    assert encoder.units < 1000 and len(encoder.table) < 50
 
 
 @settings(max_examples=60, deadline=None)
@@ -314,10 +333,29 @@ def test_pairs_hidden_in_boilerplate_equal_brute_force(spark):
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
     want = brute_components(sets)
     assert 30 <= sum(want[i] != i for i in want) <= 60 and max(Counter(want.values()).values()) == 2
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), hubs=2).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block=16).collect()}
     assert got == want
 
 
+def test_blocks_of_dissimilar_crowds_equal_brute_force(spark):
+    """Many texts share a long passage and are mostly unlike enough to stay apart; blocks are smaller than the crowd."""
+    rng = np.random.default_rng(12)
+    blocks = [[f"b{k}_{j}" for j in range(8)] for k in range(60)]
+    rows = [(i, " ".join(w for k, b in enumerate(blocks) for w in (b if rng.random() < 0.8 else []))) for i in range(1200)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = brute_components(sets)
+    assert 800 < len(set(want.values())) < 1100
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), block=100).collect()}
+    assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_rows_of_a_repeated_id_follow_their_own_text(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, one), (1, two), (2, two + " more"), (3, one), (4, "else")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 36, 1), (4, 1, 4)]
+
+
 def test_prefixes_miss_no_pair():
     """Sets of unlike sizes at the threshold share a key, and the smaller one may need it."""
     rng = np.random.default_rng(4)
