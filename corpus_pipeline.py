@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, minhash, mixing, toxicity
-from tessera.llm.common import read_table, shared_dir
-from tessera.llm.queries import piece_digests
+from tessera.llm import language, minhash, mixing, pieces, toxicity
+from tessera.llm.common import Scratch, read_table, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +32,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row."""
-    return piece_digests(docs)
+    return pieces.digests(docs.select("doc_id", "text"))
 
 
 STAGES = [
@@ -52,12 +49,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; every stage's result is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}-{name}")
-    return docs
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    result = written(STAGES[-1][1](spark, docs, sf_dir), "pipeline-result")
+    scratch.drop()
+    return result
