@@ -2,21 +2,25 @@
 
 1. Each whole text becomes the set of its distinct word shingles, a digest of that set, the keys of its buckets (one per
    band of a densified one-permutation signature) and a 512-bit sketch.
-2. Documents with equal sets collapse into a class; only class representatives (smallest id) go on, so a group of exact
-   copies of any size costs one grouped minimum.
-3. In each bucket the first `hubs` members in a seeded order become hubs, found by a group-limited rank which trims every
-   map task's rows of a key before the shuffle.  Every other member is paired with the hubs only, so pairs are at most
-   `hubs` times the bucket rows: a bucket of at most `hubs + 1` members yields all its pairs, a larger one a set of stars
-   (step 6 does the rest).
-4. Pairs whose sizes or sketches rule the threshold out never become rows (a sketch only where both sets are large
-   enough for its error to be negligible); the rest are confirmed on the full sets.
-5. Confirmed links are contracted part by part and closed into components by large-star and small-star steps.
-6. Members of larger buckets that hold more than one component are looked at again: pairs of different components that
-   share one of their rarest shingles are compared on the full sets, and the components closed again.  The prefixes of rare shingles
-   are as long as the threshold asks for, so between such members no link is lost.
+2. Rows with equal sets collapse into a class, named by its smallest id; a group of exact copies of any size costs one
+   grouped minimum.
+3. In each bucket the class that comes first in one seeded order of all classes is the hub, and every member is paired
+   with it: at most one pair for a bucket row, and mostly the same hub in all buckets of a group.
+4. Pairs whose sizes or sketches rule the threshold out go (a sketch only where both sets are large enough for its error
+   to be negligible); the rest are confirmed on the full sets, contracted part by part and closed into components.
+5. A bucket whose members all are in one component has nothing more to say.  Members of the other buckets are compared
+   exactly: two of different components meet where they share a shingle of their rarest ones.  These prefixes are as long
+   as the threshold asks for, so no link between such members is lost, and they leave out what a group has in common.
+   Groups of a rare shingle of more than `block` members are compared block by block, so that no task holds more than
+   two blocks.  This is done twice: first only the likeliest pair of any two components of a block goes on, which joins
+   the parts of a large group by a few pairs; then all pairs of members that are still apart.  What sizes, places, sketches and bitmaps let through is confirmed on the full sets, and the components
+   closed again.  A bitmap has a bit for each shingle's hash; a bit that only one of two sets has stands for a shingle that
+   they do not share, so a bitmap never rules out a link.
 
 Defined cases: a null or word-less text has an empty set and is linked with nothing; a text with fewer words than a
-shingle is one shingle; repeated rows of an id count as one document; a null id is its own class with a null component.
+shingle is one shingle; very long texts are read whole; rows are judged by their own text, so repeated rows of an id agree,
+and where an id has several texts each row follows its own (an id that is the smallest of two texts links them); a null id
+is its own class with a null component; columns other than doc_id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,16 +30,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import written
+from .common import Scratch, free_name, frugal, text_runs, written
 from .shingles import MASK, OnePermutation, WordHashes, mix, shingle_set
 
-SIGNATURE = "doc_id long, n_shingles long, set_hash binary, band_keys array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_hash binary, band_keys array<long>, sketch binary"
 #: Sketch bits: one-bit minima.  Two sets of similarity s agree in about (1 + s) / 2 of them.
 SKETCH_BITS = 512
+#: Of these bits, sets at the threshold differ in 64 with a deviation of 7.5 to 9; the bound lies 15 points of similarity
+#: lower.  Sets of fewer shingles than SURE are not judged by the sketch.
+MARGIN, SURE = 15, 100
+#: Bits of the bitmap of a set.
+BITMAP_BITS = 1024
 #: Bins that count shingles.  Which shingles are rare only matters for speed, so those that fall together do no harm.
 COUNT_BINS = 1 << 19
+#: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Text handled at a time in a task.
+PART_BYTES = 4_000_000
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -54,17 +66,17 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                     keys.append(banded.band_keys(found))
                     bits = (mix(sketcher.signature(mix_sorted(found))) & one).astype(np.uint8)
-                    sketches.append(np.packbits(bits).view(np.int64))
+                    sketches.append(np.packbits(bits).tobytes())
                 else:
                     digests.append(None)
                     keys.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "set_hash", "band_keys", "sketch"],
             )
 
-    return docs.mapInArrow(run, SIGNATURE)
+    return docs.mapInArrow(frugal(run), SIGNATURE)
 
 
 def mix_sorted(found: np.ndarray) -> np.ndarray:
@@ -73,70 +85,92 @@ def mix_sorted(found: np.ndarray) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes."""
+    """doc_id, the digest of its shingle set, and the sorted distinct shingle hashes."""
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), hashes, width).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        for whole in batches:
+            for batch in text_runs(whole, 1, PART_BYTES):
+                sets = [shingle_set(text.as_py(), hashes, width) for text in batch.column(1)]
+                digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["rid", "set_hash", "shingles"])
+
+    return docs.mapInArrow(frugal(run), "rid long, set_hash binary, shingles array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+def ordered(one: str | Column, two: str | Column) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def likely(one: Column, two: Column, threshold: int) -> Column:
-    """Whether sizes and sketches of two sets leave the threshold possible; `one`, `two`: structs of n and sketch.
+def star_pairs(buckets: DataFrame, seed: int = 1) -> DataFrame:
+    """Distinct (a, b), a < b: every member of a bucket with the bucket's hub.  `buckets`: key, rid.
 
-    Of 512 bits, sets at the threshold agree in 448 with a deviation of 7.5 to 9; the bound lies at a similarity 15 points
-    lower.  Sets too small for the sketch to be sure of are not judged by it.
+    The order in which hubs are chosen is the same in all buckets, so the buckets of one group mostly share their hub.
     """
-    agree = F.lit(SKETCH_BITS) - sum(F.bit_count(F.get(one["sketch"], F.lit(i)).bitwiseXOR(F.get(two["sketch"], F.lit(i)))) for i in range(SKETCH_BITS // 64))
-    small, large = F.least(one["n"], two["n"]), F.greatest(one["n"], two["n"])
-    return (small * 100 >= large * threshold) & ((agree >= SKETCH_BITS * (100 + threshold - 15) // 200) | (small < 100))
+    hubs = buckets.groupBy("key").agg(F.min_by("rid", F.xxhash64(F.lit(seed), "rid")).alias("hub"), F.count("*").alias("members"))
+    met = buckets.join(hubs.filter("members > 1").select("key", "hub"), "key").filter("rid <> hub")
+    return met.select(*ordered("rid", "hub")).distinct()
 
 
-def star_pairs(buckets: DataFrame, facts: DataFrame, hubs: int, threshold: int) -> DataFrame:
-    """Distinct (a, b, na, nb), a < b: every member of a bucket with those of the bucket's hubs that may be similar enough.
+def screened(pairs: DataFrame, facts: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave the threshold possible.  `facts`: rid, n, sketch."""
 
-    `buckets`: key, rid.  `facts`: rid, n, sketch.  Hubs carry their sketches to the bucket's members, so a pair becomes a
-    row only when it has passed the screen.
-    """
-    # The order among members is seeded by the bucket's key, so that different buckets of one group get different hubs.
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "rid"), "rid")
-    ranked = buckets.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
-    named = ranked.groupBy("key").agg(F.collect_list("rid").alias("named")).filter(F.size("named") > 1)
-    named = named.select("key", F.explode("named").alias("rid")).join(facts, "rid")
-    named = named.groupBy("key").agg(F.collect_list(F.struct("rid", "n", "sketch")).alias("named"))
-    met = buckets.join(named, "key").select("rid", "named").join(facts, "rid")
-    own = F.struct("n", "sketch")
-    hub = F.explode(F.filter("named", lambda h: (h["rid"] != F.col("rid")) & likely(own, h, threshold)))
-    pairs = met.select("rid", "n", hub.alias("hub")).select("rid", "n", F.col("hub.rid").alias("h"), F.col("hub.n").alias("hn"))
-    first = F.col("rid") < F.col("h")
-    return pairs.select(F.least("rid", "h").alias("a"), F.greatest("rid", "h").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hn")).alias("na"), F.when(first, F.col("hn")).otherwise(F.col("n")).alias("nb")).distinct()
-
-
-def links(docs: DataFrame, classes: DataFrame, width: int, threshold: int, hubs: int) -> DataFrame:
-    """Confirmed links (a, b, inter) between class representatives.
-
-    `docs`: doc_id, text.  `classes`: rid, n, band_keys, sketch.  `threshold`: percent of the union.
-    """
-    buckets = classes.select("rid", F.explode("band_keys").alias("key"))
-    pairs = written(star_pairs(buckets, classes.select("rid", "n", "sketch"), hubs, threshold), "op4-pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "op4-wanted")
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
-    sets = written(sets, "op4-sets")
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = joined.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = possible(na, nb, *(bit_words(batch.column(k), SKETCH_BITS) for k in (4, 5)), threshold)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    both = pairs.join(facts.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = both.join(facts.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(frugal(run), "a long, b long").distinct()
+
+
+def bit_words(column: pa.Array, bits: int) -> np.ndarray:
+    """uint64[rows, bits / 64] of a column of sketches or bitmaps."""
+    words = bits // 64
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words) if len(column) else np.empty((0, words), np.uint64)
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """rid and `bitmap` of every set of (rid, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                bits = np.zeros(BITMAP_BITS, np.uint8)
+                bits[x.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(BITMAP_BITS)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rid", "bitmap"])
+
+    return sets.select("rid", "shingles").mapInArrow(frugal(run), "rid long, bitmap binary")
+
+
+def overlap_bound(na, nb, ma: np.ndarray, mb: np.ndarray):
+    """The most shingles that sets of these sizes and bitmaps can share."""
+    return np.minimum(na - np.bitwise_count(ma & ~mb).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(mb & ~ma).sum(axis=1, dtype=np.int64))
+
+
+def possible(na, nb, sa: np.ndarray, sb: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether sets of these sizes and sketches may be similar enough."""
+    differ = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    return (small * 100 >= large * threshold) & ((differ * 200 <= SKETCH_BITS * (100 - threshold + MARGIN)) | (small < SURE))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach `threshold` percent of their union.  `sets`: rid, shingles."""
+    joined = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
+    joined = joined.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return joined.select("a", "b", "na", "nb", inter.alias("inter")).filter(F.col("inter") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")) * threshold)
+    sized = joined.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("n"), inter.alias("inter"))
+    return sized.filter(F.col("inter") * 100 >= (F.col("n") - F.col("inter")) * threshold).select("a", "b")
 
 
-def unresolved(classes: DataFrame, merged: DataFrame, hubs: int) -> DataFrame:
-    """Distinct (rid, comp) of the members of buckets of more than `hubs + 1` members and more than one component."""
-    buckets = classes.select("rid", F.explode("band_keys").alias("key"))
-    crowded = buckets.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > hubs + 1).select("key")
-    within = buckets.join(crowded, "key").join(merged.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
-    within = written(within, "op4-crowded")
+def unresolved(buckets: DataFrame, merged: DataFrame) -> DataFrame:
+    """Distinct (rid, comp) of the members of buckets that hold more than one component."""
+    within = buckets.join(merged.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
     mixed = within.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("key")
     return within.join(mixed, "key").select("rid", "comp").distinct()
 
@@ -161,13 +195,8 @@ def least(n, m, threshold: int):
     return -(-threshold * (n + m) // (100 + threshold))
 
 
-def hidden_links(docs: DataFrame, left: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Confirmed links (a, b) between members of different components.  `left`: rid, comp.
-
-    Every link of the threshold between two rows of `left` with different comp is found.
-    """
-    sets = full_sets(docs.join(left.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width)
-    sets = written(sets.join(left.select(F.col("rid").alias("doc_id"), "comp"), "doc_id"), "op4-left-sets")
+def rare_rows(sets: DataFrame, threshold: int) -> DataFrame:
+    """key, rid, comp, place, n, short: the prefix of every set of (rid, comp, shingles)."""
 
     def count(batches):
         counts = np.zeros(COUNT_BINS, np.uint32)
@@ -177,53 +206,82 @@ def hidden_links(docs: DataFrame, left: DataFrame, width: int, threshold: int) -
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
 
     counts = np.zeros(COUNT_BINS, np.int64)
-    for row in sets.select("shingles").coalesce(32).mapInArrow(count, "counts binary").toLocalIterator():
+    for row in sets.select("shingles").coalesce(32).mapInArrow(frugal(count), "counts binary").toLocalIterator():
         counts += np.frombuffer(row["counts"], np.uint32)
+    counts = np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
-    def keyed(batches):
+    def run(batches):
         for batch in batches:
             of = [prefix(x.values.to_numpy(zero_copy_only=False).view(np.uint64), counts, threshold) for x in batch.column(2)]
             sizes = [len(x[0]) for x in of]
             rid, comp = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+            n = np.repeat([len(x.values) for x in batch.column(2)], sizes).astype(np.int64)
             keys, places, short = (np.concatenate(x) for x in zip(*of, strict=True)) if of else (np.empty(0, t) for t in (np.uint64, np.int64, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rid), pa.array(comp), pa.array(places), pa.array(short)], names=["key", "rid", "comp", "place", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rid), pa.array(comp), pa.array(places), pa.array(n), pa.array(short)], names=["key", "rid", "comp", "place", "n", "short"])
+
+    return sets.select("rid", "comp", "shingles").mapInArrow(frugal(run), "key long, rid long, comp long, place long, n long, short boolean")
 
-    def linked(batches):
-        for batch in batches:
-            for members in batch.column(0):
-                rid, comp, place, lists = (members.values.field(k) for k in ("rid", "comp", "place", "shingles"))
-                a, b = similar_pairs(rid.to_numpy(), comp.to_numpy(), place.to_numpy(), lists, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    rows = written(sets.select("doc_id", "comp", "shingles").mapInArrow(keyed, "key long, rid long, comp long, place long, short boolean"), "op4-keys")
+def hidden_pairs(rows: DataFrame, facts: DataFrame, threshold: int, block: int, best: bool) -> DataFrame:
+    """Distinct candidates (a, b) of different components among `rows` (see rare_rows).  `facts`: rid, sketch, bitmap.
+    `best`: of the candidates of two components in a block, only the likeliest.
+
+    A key's members are dealt into blocks of about `block`; each pair of blocks is a group of its own.
+    """
     # The smaller set of a pair has the shingle in its short prefix.
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or("short").alias("short")).filter("least <> most AND short").select("key")
-    rows = rows.join(mixed, "key").join(sets.select(F.col("doc_id").alias("rid"), "shingles"), "rid")
-    met = rows.groupBy("key").agg(F.collect_list(F.struct("rid", "comp", "place", "shingles")).alias("members"))
-    return met.select("members").mapInArrow(linked, "a long, b long").distinct()
-
-
-def similar_pairs(rid: np.ndarray, comp: np.ndarray, place: np.ndarray, lists: pa.ListArray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs a < b of different comp whose sets have `threshold` percent similarity or more, by counting what they share."""
-    order = np.argsort(comp, kind="stable")
-    lists = lists.take(pa.array(order))
-    rid, comp, place, sizes = rid[order], comp[order], place[order], np.diff(lists.offsets.to_numpy())
-    codes = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    marks = np.zeros(len(codes), np.int32)
-    found = [(rid[:0], rid[:0])]
-    for k, begin in enumerate(np.searchsorted(comp, comp)):  # each with those of all components before its own
-        both = least(sizes[:begin], sizes[k], threshold)
-        at = np.flatnonzero((place[:begin] <= sizes[:begin] - both) & (place[k] <= sizes[k] - both))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or("short").alias("short"), F.count("*").alias("members"))
+    mixed = mixed.filter("least <> most AND short").select("key", F.ceil(F.col("members") / block).alias("blocks"))
+    dealt = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.join(facts.select("rid", "sketch", "bitmap"), "rid")
+    met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.agg(F.collect_list(F.struct("rid", "comp", "place", "n", "own", "sketch", "bitmap")).alias("members")).filter(F.size("members") > 1)
+
+    def run(batches):
+        for batch in batches:
+            found = [(np.empty(0, np.int64),) * 2]
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rid, comp, place, n, own = (members.values.field(k).to_numpy() for k in ("rid", "comp", "place", "n", "own"))
+                bits = (bit_words(members.values.field(k), size) for k, size in (("sketch", SKETCH_BITS), ("bitmap", BITMAP_BITS)))
+                found.append(similar_pairs(rid, comp, place, n, own if i < j else None, *bits, threshold, best))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return met.select("i", "j", "members").mapInArrow(frugal(run), "a long, b long").distinct()
+
+
+def similar_pairs(rid, comp, place, n, own, sketch, bitmap, threshold: int, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of different comp (and of different `own` where that is given) that may reach the threshold."""
+    order = np.lexsort((rid, comp))
+    rid, comp, place, n, sketch, bitmap = (x[order] for x in (rid, comp, place, n, sketch, bitmap))
+    own = own[order] if own is not None else None
+    one, two = [], []
+    for k, begin in enumerate(np.searchsorted(comp, comp).tolist()):  # each with those of all components before its own
+        if not begin:
+            continue
+        both = least(n[:begin], n[k], threshold)
+        met = (place[:begin] <= n[:begin] - both) & (place[k] <= n[k] - both)
+        if own is not None:
+            met &= own[:begin] != own[k]
+        at = np.flatnonzero(met)
+        if len(at):
+            at = at[overlap_bound(n[at], n[k], bitmap[at], bitmap[k]) >= both[at]]
         if len(at):
-            own, n = codes[starts[k] : starts[k + 1]], sizes[at]
-            ends = np.cumsum(n)
-            marks[own] = 1
-            inter = np.add.reduceat(marks[codes[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)]], ends - n)
-            marks[own] = 0
-            near = rid[at][inter >= both[at]]
-            found.append((np.minimum(near, rid[k]), np.maximum(near, rid[k])))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            at = at[possible(n[at], n[k], sketch[at], sketch[k], threshold)]
+            one.append(at)
+            two.append(np.full(len(at), k))
+    if not one:
+        return rid[:0], rid[:0]
+    one, two = np.concatenate(one), np.concatenate(two)
+    if best and len(one) > 1:
+        differ = np.bitwise_count(sketch[one] ^ sketch[two]).sum(axis=1)
+        order = np.lexsort((differ, comp[two], comp[one]))
+        first = np.ones(len(order), bool)
+        first[1:] = (comp[one][order][1:] != comp[one][order][:-1]) | (comp[two][order][1:] != comp[two][order][:-1])
+        one, two = one[order[first]], two[order[first]]
+    return np.minimum(rid[one], rid[two]), np.maximum(rid[one], rid[two])
 
 
 def contracted(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
@@ -251,18 +309,18 @@ def contracted(edges: DataFrame, per_task: int = 250_000) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     parts = max(1, -(-edges.count() // per_task))
-    return edges.repartition(parts).mapInArrow(run, "u long, v long")
+    return edges.repartition(parts).mapInArrow(frugal(run), "u long, v long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node with an edge in (a, b).
 
     Edges are contracted part by part first.  Then large-star and small-star in turn until the edges no longer change;
     every round is written to the shared folder, and a hot node's neighbours are reduced by a partial minimum and
     rejoined, never gathered.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "op4-links")
-    edges = written(contracted(edges), "op4-edges")
+    edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "links")
+    edges = scratch.keep(contracted(edges), "edges")
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -270,7 +328,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "op4-edges")
+        edges = scratch.keep(small, "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -278,32 +336,54 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, hubs: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 75, bands: int = 32, rows: int = 4, block: int = 4000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id reachable over links of `threshold` percent similarity or more, kept tells whether
     it is the row's own id.  See the module's text for nulls, empty texts and repeated rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(signatures(docs, width, bands, rows), "op4-signatures")
+    scratch = Scratch(docs.sparkSession, "op4")
+    signed = scratch.keep(signatures(docs, width, bands, rows), "signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     first = F.min(F.struct("doc_id", "n_shingles", "band_keys", "sketch"))
     classes = full.groupBy("set_hash").agg(first.alias("f")).select("set_hash", F.col("f.doc_id").alias("rid"), F.col("f.n_shingles").alias("n"), "f.band_keys", "f.sketch")
-    classes = written(classes, "op4-classes")
-    found = links(docs, classes, width, threshold, hubs)
-    merged = components(found)
-    left = written(unresolved(classes, merged, hubs), "op4-left")
+    classes = scratch.keep(classes, "classes")
+    facts = classes.select("rid", "n", "sketch")
+
+    met = scratch.keep(star_pairs(classes.select("rid", F.explode("band_keys").alias("key"))), "met")
+    members = scratch.keep(met.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "members")
+    # Only ids that share a bucket are read again; as long as they are few enough their ids go to the texts, not the reverse.
+    small = members.count() <= BROADCAST_IDS
+    sets = full_sets(docs.join(F.broadcast(members) if small else members, docs["doc_id"] == members["rid"], "left_semi"), width)
+    # A row of a member's id counts if its text is that of a class, and once.
+    sets = sets.join(classes.select("set_hash", "rid"), ["set_hash", "rid"], "left_semi").dropDuplicates(["set_hash"])
+    sets = scratch.keep(sets.select("rid", "shingles"), "sets")
+    merged = components(confirmed(screened(met, facts, threshold), sets, threshold), scratch)
+
+    shared = classes.join(members, "rid", "left_semi").select("rid", F.explode("band_keys").alias("key"))
+    left = scratch.keep(unresolved(shared, merged), "left")
     if not left.isEmpty():
-        more = written(hidden_links(docs, left, width, threshold), "op4-more")
-        if not more.isEmpty():
-            merged = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        left_sets = scratch.keep(sets.join(left, "rid").select("rid", "comp", "shingles"), "left-sets")
+        rare = scratch.keep(rare_rows(left_sets, threshold), "rare")
+        marks = scratch.keep(facts.select("rid", "sketch").join(bitmaps(left_sets), "rid"), "marks")
+        scratch.drop("left-sets")
+        for best in (True, False):
+            pairs = scratch.keep(hidden_pairs(rare, marks, threshold, block, best), "hidden")
+            more = confirmed(pairs, sets, threshold)
+            merged = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch)
+            now = merged.select(F.col("node").alias("rid"), "component")
+            rare = rare.join(now, "rid", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
     of_class = classes.select("set_hash", "rid").join(merged, F.col("rid") == F.col("node"), "left").select("set_hash", F.coalesce("component", "rid").alias("found_id"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(of_class, "set_hash", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    result = written(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "op4-result")
+    scratch.drop()
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group: the rows whose id is the smallest of their component."""
-    gone = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """`docs` with one document of each group: the ids of which some row is kept (see near_duplicates), and null ids."""
+    gone = free_name(docs, "gone_id")
+    ids = near_duplicates(docs, **options).groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("NOT kept")
+    return docs.join(ids.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti")
