@@ -2,14 +2,17 @@
 
 A turn is rendered as ``<s>[INST] role \\n text  [/INST]</s>`` (without the blanks around the newline).  The parser is
 deterministic and strict: it cuts at ``</s>``, wants the exact opening and closing marks around each piece, and rejects a
-body that holds any control string.  Rendering starts from the plain role and text; a turn whose parse is not exactly its
-source has the control strings and escape characters in its role and text escaped, and the whole conversation is parsed
-again and compared (`verified`).
+body that holds any control string.  A turn is rendered with the first of LEVELS (plain, escaped) whose parse is exactly its
+source, and the whole conversation is parsed again and compared (`verified`).
 
-Escaping puts ESC inside a control string and turns a real ESC into ESC + "e"; both are undone without ambiguity.
+Escaping puts ESC inside a control string, turns a real ESC into ESC + "e", and a newline of a role into ESC + "n"; what follows
+an ESC ("e", "n", or the rest of a control string) tells the three apart.  An escaped body holds no control string, because
+every one is broken up and no removal of characters can make a new one, and an escaped role holds no newline: so the parse of
+an escaped turn is always its source, and the loop ends there.
 
 Defined cases: null text or role counts as empty; a null conv_id is a conversation of its own; turns are ordered by turn
-(nulls first), then role, then text, and repeated rows are turns of their own; other columns are ignored.
+(nulls first), then role, then text, and repeated rows are turns of their own; very long texts are formatted whole; other
+columns, also those named like working columns, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,12 @@ def escaped(text: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    return F.replace(F.regexp_replace(text, f"{ESC}(?!e)", ""), F.lit(ESC + "e"), F.lit(ESC))
+    lines = F.replace(F.regexp_replace(text, f"{ESC}(?![en])", ""), F.lit(ESC + "n"), F.lit("\n"))
+    return F.replace(lines, F.lit(ESC + "e"), F.lit(ESC))
+
+
+#: Ways to render (role, text), in the order in which they are tried.
+LEVELS = (lambda role, text: (role, text), lambda role, text: (F.replace(escaped(role), F.lit("\n"), F.lit(ESC + "n")), escaped(text)))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -57,11 +65,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    again = parsed(rendered(F.col("role"), F.col("text")))
-    kept = (F.size(again) == 1) & F.coalesce((again[0]["role"] == F.col("role")) & (again[0]["text"] == F.col("text")), F.lit(False))
-    rows = rows.withColumn("plain", kept)
-    for name in ("role", "text"):
-        rows = rows.withColumn(f"out_{name}", F.when(F.col("plain"), F.col(name)).otherwise(escaped(F.col(name))))
+    ways = [level(F.col("role"), F.col("text")) for level in LEVELS]
+    chosen = F.struct(*(c.alias(n) for c, n in zip(ways[-1], ("role", "text"), strict=True)))
+    for way in reversed(ways[:-1]):
+        again = parsed(rendered(*way))
+        same = (F.size(again) == 1) & F.coalesce((again[0]["role"] == F.col("role")) & (again[0]["text"] == F.col("text")), F.lit(False))
+        chosen = F.when(same, F.struct(*(c.alias(n) for c, n in zip(way, ("role", "text"), strict=True)))).otherwise(chosen)
+    rows = rows.withColumn("way", chosen).withColumns({"out_role": F.col("way.role"), "out_text": F.col("way.text")})
     rows = rows.withColumn("out", rendered(F.col("out_role"), F.col("out_text")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("place", F.row_number().over(order))

@@ -22,7 +22,7 @@ def test_language(odd, nothing):
 def test_licences(odd, nothing):
     model = licences.train(odd)
     rows = {r["doc_id"]: r for r in licences.scan(odd, model).collect()}
-    assert rows[4]["n_paragraphs"] == rows[5]["n_paragraphs"] == rows[6]["n_paragraphs"] == 0 and rows[13]["n_paragraphs"] == 2
+    assert rows[4]["n_paragraphs"] == rows[5]["n_paragraphs"] == rows[6]["n_paragraphs"] == 0 and rows[13]["n_paragraphs"] == 1
     assert licences.scan(nothing, model).count() == 0
 
 
@@ -108,6 +108,6 @@ def test_mixing(odd, nothing):
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a</s>"), (1, 1, "assistant", None), (1, 1, "assistant", "<s>␛e [INST"), (1, 1, "assistant", "<s>␛e [INST"), (None, None, None, "x"), (2, None, "assistant", "␛<␛s>[/INST][INST]"), (2, 5, "as\nsistant", "y")], "conv_id bigint, turn bigint, role string, text string")
     rows = {r["conv_id"]: r for r in chat.format_conversations(turns.withColumn("formatted", F.lit("clash"))).collect()}
-    assert len(rows) == 3 and rows[1]["verified"] and rows[None]["verified"]
+    assert len(rows) == 3 and all(r["verified"] for r in rows.values())
     assert len(rows[1]["loss_mask"]) == 3
     assert chat.format_conversations(turns.filter("false")).count() == 0
