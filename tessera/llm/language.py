@@ -2,6 +2,8 @@
 
 posterior(lang) ~ prior(lang | host) * P(declared | lang) * P(suffix | lang) * P(text | lang) ** temper
 
+- other: a declared language (of two or three letters) that has no text model is a candidate of its own, by its declaration
+  and the prior `other`, with the uniform text model;
 - unknown: a class of its own with prior `unknown` and the uniform text model, so that only texts that fit no language
   by a wide margin are given up, however short the others are;
 - text: hashed byte 4-grams of the lower-cased whole text under one smoothed multinomial per language, fitted on a
@@ -12,8 +14,13 @@ posterior(lang) ~ prior(lang | host) * P(declared | lang) * P(suffix | lang) * P
 - host: counts of text-only decisions per host, smoothed towards its registered domain, which is smoothed towards all
   rows.  They come from one grouped aggregation with map-side combine, so a host with a third of all rows costs nothing.
 
+Priors meet the rows by host: a broadcast while Spark finds them small enough, else a shuffled join whose hot hosts are
+split by adaptive execution.
+
 Defined cases: a null or empty text has no evidence of its own and is rejected as "und"; null declared, suffix or host
-count as absent; unknown declared values are ignored; repeated rows are decided alike; an empty table gives an empty result.
+count as absent; declared values that are no language code are ignored; repeated rows are decided alike; very long texts are
+read whole; columns named like the results are replaced and all others, whatever their names, pass through; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of, written
+from .common import frugal, runs_of, written
 
 BUCKETS = 1 << 16
 SCALE = 1024
@@ -63,9 +70,12 @@ def gram_buckets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return keys[np.cumsum(inside, dtype=np.int8)[: len(keys)] > 0], np.concatenate([[0], np.cumsum(sizes)])
 
 
-def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_languages: int = 32, alpha: float = 0.05, seed: int = 3) -> TextModel:
-    """Fit on about `sample` rows per declared language (the `max_languages` commonest); at most BUCKETS counts per
-    language reach the driver."""
+def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_languages: int = 100, alpha: float = 0.05, seed: int = 3) -> TextModel:
+    """Fit on about `sample` distinct texts per declared language; at most BUCKETS counts per language reach the driver.
+
+    `max_languages` bounds the size of the model (256 KB each): the commonest ones get a text model, all others stay
+    candidates by their declaration (see the module's text).
+    """
     rows = docs.select(F.col(text).cast("string").alias("text"), F.lower(F.col(declared).cast("string")).alias("lang")).filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL AND lang <> ''")
     totals = [(r[0], r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     languages = sorted(x[0] for x in totals)
@@ -74,7 +84,8 @@ def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_lang
     share = F.lit(0.0)
     for lang, n in totals:
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < share * (1 << 30))
+    # Copies of a text count once, so that a text with many copies does not undo the bound.
+    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < share * (1 << 30)).distinct()
 
     def count(batches):
         for batch in batches:
@@ -83,7 +94,7 @@ def train(docs: DataFrame, text: str, declared: str, sample: int = 300, max_lang
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "k", "n"])
 
     table = np.zeros((BUCKETS, len(languages)))
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    counted = chosen.select("text", "lang").mapInArrow(frugal(count), "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     table[got["k"].to_numpy(int), [languages.index(x) for x in got["lang"]]] = got["n"].to_numpy(float)
     rate = (table + alpha) / (table.sum(axis=0) + alpha * BUCKETS)
@@ -111,7 +122,7 @@ def text_gains(docs: DataFrame, model: TextModel, text: str = "text") -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * n_lang), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(sizes, pa.int64())], names=[*whole.schema.names, "x_gains", "x_grams"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def registered_domain(host: Column) -> Column:
@@ -130,7 +141,7 @@ def host_of(url: Column) -> Column:
 
 def identify(
     docs: DataFrame, model: TextModel, text: str = "text", declared: Column | None = None, host: Column | None = None,
-    trust: float = 0.9, temper: float = 0.1, host_weight: float = 20.0, domain_weight: float = 50.0, unknown: float = 0.01,
+    trust: float = 0.9, temper: float = 0.1, host_weight: float = 20.0, domain_weight: float = 50.0, unknown: float = 0.01, other: float = 0.05,
 ) -> DataFrame:
     """`docs` with lang_id, lang_posterior, lang_text (text alone) and lang_kept.
 
@@ -140,9 +151,10 @@ def identify(
     names = [c for c in docs.columns if c not in ("lang_id", "lang_posterior", "lang_text", "lang_kept")]
     langs, none = model.languages, F.lit(None).cast("string")
     if not langs:
-        return docs.select(*names, F.lit(UNKNOWN).alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(UNKNOWN).alias("lang_text"), F.lit(False).alias("lang_kept"))
-    base = docs.select(*names, F.lower(declared if declared is not None else none).alias("x_declared"), F.lower(host if host is not None else none).alias("x_host"))
-    scored = text_gains(base, model, text)
+        return docs.select(*(f"`{c}`" for c in names), F.lit(UNKNOWN).alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(UNKNOWN).alias("lang_text"), F.lit(False).alias("lang_kept"))
+    # The input's row travels as one struct, so none of its names can clash with a working column.
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("x_row"), F.col(f"`{text}`").cast("string").alias("x_text"), F.lower(declared if declared is not None else none).alias("x_declared"), F.lower(host if host is not None else none).alias("x_host"))
+    scored = text_gains(base, model, "x_text").drop("x_text")
     best = F.array_max("x_gains")
     guess = F.when((F.col("x_grams") > 0) & (best > 0), F.element_at(F.array(*map(F.lit, langs)), F.array_position("x_gains", best).cast("int")))
     scored = scored.withColumn("x_guess", guess)
@@ -156,22 +168,25 @@ def identify(
     suffix = F.create_map(*(F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair))[F.substring_index("x_host", ".", -1)]
     suffix = F.when(F.col("x_host").contains("."), suffix)
     known = F.col("x_declared").isin(*langs)
+    code = F.coalesce(F.col("x_declared").rlike("^[a-z]{2,3}(-|$)") & ~known, F.lit(False))
 
     def evidence(i: int) -> Column:
         prior = F.log(F.coalesce(F.element_at("p_prior", i + 1), F.lit(everywhere[i])))
-        said = F.when(known, F.when(F.col("x_declared") == langs[i], np.log(trust).item()).otherwise(np.log((1 - trust) / max(1, len(langs) - 1)).item())).otherwise(0.0)
+        said = F.when(known, F.when(F.col("x_declared") == langs[i], np.log(trust).item()).otherwise(np.log((1 - trust) / max(1, len(langs) - 1)).item())).when(code, np.log((1 - trust) / len(langs)).item()).otherwise(0.0)
         from_suffix = F.when(suffix.isin(*langs), F.when(suffix == langs[i], np.log(0.7).item()).otherwise(np.log(0.3 / max(1, len(langs) - 1)).item())).otherwise(0.0)
         return prior + said + from_suffix + F.element_at("x_gains", i + 1) * F.lit(temper / SCALE)
 
-    logs = joined.withColumn("x_logs", F.array(*(evidence(i) for i in range(len(langs)))))
-    nothing = F.lit(np.log(unknown).item()) - F.when(known, np.log(len(langs)).item()).otherwise(0.0)
+    # A declared language without a text model: its text says as much as the uniform model's.
+    said_other = F.when(code, F.lit(np.log(other * trust).item())).otherwise(F.lit(-1e300))
+    logs = joined.withColumn("x_logs", F.array(*(evidence(i) for i in range(len(langs))), said_other))
+    nothing = F.lit(np.log(unknown).item()) - F.when(known | code, np.log(len(langs)).item()).otherwise(0.0)
     logs = logs.withColumn("x_top", F.array_max("x_logs")).withColumn("x_none", nothing)
     logs = logs.withColumn("x_most", F.greatest("x_top", "x_none"))
     total = F.aggregate("x_logs", F.exp(F.col("x_none") - F.col("x_most")), lambda a, x: a + F.exp(x - F.col("x_most")))
-    winner = F.element_at(F.array(*map(F.lit, langs)), F.array_position("x_logs", F.col("x_top")).cast("int"))
+    winner = F.element_at(F.array(*map(F.lit, langs), F.coalesce("x_declared", F.lit(UNKNOWN))), F.array_position("x_logs", F.col("x_top")).cast("int"))
     fits = F.coalesce((F.col("x_grams") > 0) & (F.col("x_top") >= F.col("x_none")), F.lit(False))
     posterior = F.when(fits, F.round(F.exp(F.col("x_top") - F.col("x_most")) / total, 9)).otherwise(0.0)
-    return logs.select(*names, F.when(fits, winner).otherwise(UNKNOWN).alias("lang_id"), posterior.alias("lang_posterior"), F.coalesce("x_guess", F.lit(UNKNOWN)).alias("lang_text"), fits.alias("lang_kept"))
+    return logs.select("x_row.*", F.when(fits, winner).otherwise(UNKNOWN).alias("lang_id"), posterior.alias("lang_posterior"), F.coalesce("x_guess", F.lit(UNKNOWN)).alias("lang_text"), fits.alias("lang_kept"))
 
 
 def host_priors(counts: DataFrame, langs: list[str], everywhere: list[float], host_weight: float, domain_weight: float) -> DataFrame:
