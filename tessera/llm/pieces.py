@@ -41,7 +41,10 @@ def default_model() -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts with one model; equal to the library's encode() without begin or end ids."""
+    """Encodes texts with one model; equal to the library's encode() without begin or end ids.
+
+    A subclass may say more of a chunk by overriding `entry`.
+    """
 
     def __init__(self, model: str, table_units: int = 2_000_000):
         import sentencepiece
@@ -65,9 +68,12 @@ class ChunkEncoder:
         new = [c for c in dict.fromkeys(found) if c not in table]
         if new:
             for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-                table[chunk] = tuple(ids) or (self.model.piece_to_id(MARK),)
+                table[chunk] = self.entry(chunk, tuple(ids) or (self.model.piece_to_id(MARK),))
                 self.units += 12 + (len(ids) + len(chunk) // 4) // 2
 
+    def entry(self, chunk: str, ids: tuple[int, ...]):
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [self.encode_text(t) for t in texts]
 

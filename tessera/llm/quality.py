@@ -1,40 +1,49 @@
 """Quality rules: tokeniser fertility within bands per language or script.
 
-A public vocabulary segments every whole text (by the table of distinct chunks of `pieces`).  Three figures follow:
-characters per token, the share of byte-fallback tokens and the entropy of the text's tokens.  A text is rejected where a
-figure lies beyond its group's band.  Groups are declared languages, or scripts where none is declared; bands come from
-counts over all documents: the quartiles of the figure, widened on both sides by `reach` interquartile ranges (at least
-`least` of the figure's unit).  Texts of fewer than `min_tokens` tokens say too little and are not judged by bands.
+Two public vocabularies segment every whole text: one of pieces with byte fallback (by the table of distinct chunks of
+`pieces`), and one of byte pairs, chunk by chunk.  Four figures follow: characters per token of either vocabulary, the share of
+byte-fallback tokens and the entropy of the text's pieces.  A text is rejected where a figure lies beyond its group's band.
+Groups are declared languages, or scripts where none is declared.  Bands come from counts over all documents that have a
+token (entropy: FULL tokens or more): the quartiles of the figure, widened on both sides by `reach` interquartile ranges
+(at least LEAST of the figure's unit).  Texts of fewer than FULL tokens are judged too: their band is wider by the square
+root of what they lack, and for entropy, which cannot exceed the logarithm of the number of tokens, its lower edge goes
+down with that logarithm.
 
 Base rules: fewer than `min_words` words, or more than `max_repeat` percent of words in windows that repeat.
 
-Defined cases: null and empty texts have zero words and fail the base rules; null languages go by script; rows repeat
-their verdicts; columns other than doc_id, text and lang are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts have zero words and fail the base rules, and have no figures; null languages go by
+script; rows repeat their verdicts; very long texts are read whole; columns other than doc_id, text and lang are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
+import math
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs_of, written
-from .pieces import PART_BYTES, ChunkEncoder, default_model
+from .common import frugal, runs_of, written
+from .pieces import MARK, PART_BYTES, ChunkEncoder, default_model, segments
 from .shingles import WordHashes, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Units in which the figures are counted for the bands.
-UNITS = {"chars_per_token": 0.02, "byte_share": 0.002, "entropy": 0.02}
-LEAST = {"chars_per_token": 0.5, "byte_share": 0.06, "entropy": 1.5}
+UNITS = {"chars_per_token": 0.02, "chars_per_pair": 0.02, "byte_share": 0.002, "entropy": 0.02}
+LEAST = {"chars_per_token": 0.5, "chars_per_pair": 0.5, "byte_share": 0.06, "entropy": 1.5}
+#: Tokens from which a text is judged by the plain band.
+FULL = 80
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double"
+    "n_tokens long, chars_per_token double, chars_per_pair double, byte_share double, entropy double"
 )
 
 
@@ -74,60 +83,106 @@ def script_of(text: str) -> str:
     return min(names, key=lambda k: (-names[k], k)) if names else "NONE"
 
 
-def measures(docs: DataFrame, model: str | None = None) -> DataFrame:
+def default_pairs() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+class TwoVocabularies(ChunkEncoder):
+    """Pieces of a text, and how many byte-pair tokens its chunks have together."""
+
+    def __init__(self, model: str, pairs: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(pairs, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.pairs = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.counts: dict[str, int] = {}
+        super().__init__(model)
+
+    def entry(self, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        self.counts[chunk] = len(self.pairs.encode_ordinary(chunk.replace(MARK, " ")))
+        return ids
+
+    def measure(self, text: str) -> tuple[list[int], int]:
+        """Piece ids, and the number of byte-pair tokens."""
+        ids, n = [], 0
+        for segment in segments(text):
+            found = self.chunks(segment)
+            if self.units > self.limit:
+                self.counts = {}
+            self.learn(found)
+            ids.extend(chain.from_iterable(map(self.table.__getitem__, found)))
+            n += sum(map(self.counts.__getitem__, found))
+        return ids, n
+
+
+def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None) -> DataFrame:
     """The counts and fertility figures of every row of (doc_id, text, lang)."""
-    model = model or default_model()
+    model, pairs = model or default_model(), pairs or default_pairs()
 
     def run(batches):
-        encoder, hashes = ChunkEncoder(model), WordHashes()
+        encoder, hashes = TwoVocabularies(model, pairs), WordHashes()
         processor = encoder.model
         is_byte = np.array([processor.is_byte(i) for i in range(processor.get_piece_size())])
         names = [part.split()[0] for part in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), *[pa.float64()] * 3]
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), *[pa.float64()] * 4]
         for whole in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()
             for start, end in runs_of(lengths, PART_BYTES):
                 rows = []
                 part = [t or "" for t in whole.column(1)[start:end].to_pylist()]
-                for doc_id, lang, text, ids in zip(whole.column(0)[start:end].to_pylist(), whole.column(2)[start:end].to_pylist(), part, encoder.encode(part), strict=True):
+                for doc_id, lang, text in zip(whole.column(0)[start:end].to_pylist(), whole.column(2)[start:end].to_pylist(), part, strict=True):
+                    ids, n_pairs = encoder.measure(text)
                     words = text.encode("utf-8", "surrogatepass").split()
                     chars = len(text) - sum(map(text.count, BLANKS))
-                    figures = [0, None, None, None]
+                    figures = [0, None, None, None, None]
                     if ids:
                         found = np.array(ids)
                         share = np.unique(found, return_counts=True)[1] / len(found)
-                        figures = [len(found), len(text) / len(found), float(is_byte[found].mean()), float(-(share * np.log2(share)).sum())]
+                        figures = [len(found), len(text) / len(found), len(text) / n_pairs, float(is_byte[found].mean()), float(-(share * np.log2(share)).sum())]
                     rows.append((doc_id, lang, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, hashes), script_of(text) if not lang else None, *figures))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(frugal(run), SCHEMA)
 
 
-def bands(measured: DataFrame, reach: float, min_tokens: int) -> DataFrame:
-    """grp, and lo_/hi_ of each figure: from histograms over all documents, so only (group, figure, unit) counts move."""
-    rows = measured.filter((F.col("n_tokens") >= min_tokens) & ~F.col("base_failed"))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("figure"), F.floor(F.col(k) / u).cast("long").alias("at")) for k, u in UNITS.items())))
-    counts = rows.select("grp", pairs.alias("p")).groupBy("grp", "p.figure", "p.at").count()
+def bands(measured: DataFrame, reach: float) -> DataFrame:
+    """grp, and lo_, hi_ and margin_ of each figure: from histograms over all documents, so only (group, figure, unit) counts move."""
+    rows = measured.filter("n_tokens > 0")
+    pairs = F.explode(F.array(*(F.when(F.col("n_tokens") >= (FULL if k == "entropy" else 1), F.struct(F.lit(k).alias("figure"), F.floor(F.col(k) / u).cast("long").alias("at"))) for k, u in UNITS.items())))
+    counts = rows.select("grp", pairs.alias("p")).filter("p IS NOT NULL").groupBy("grp", "p.figure", "p.at").count()
     quartiles = counts.groupBy("grp", "figure").agg(F.percentile("at", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
     unit = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[F.col("figure")]
     least = F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv))[F.col("figure")]
     margin = F.greatest((F.col("q")[1] - F.col("q")[0]) * unit * reach, least)
-    edges = quartiles.select("grp", "figure", (F.col("q")[0] * unit - margin).alias("lo"), (F.col("q")[1] * unit + margin).alias("hi"))
-    picks = [F.max(F.when(F.col("figure") == k, F.col(side))).alias(f"{side}_{k}") for k in UNITS for side in ("lo", "hi")]
+    edges = quartiles.select("grp", "figure", (F.col("q")[0] * unit).alias("lo"), (F.col("q")[1] * unit).alias("hi"), margin.alias("margin"))
+    picks = [F.max(F.when(F.col("figure") == k, F.col(side))).alias(f"{side}_{k}") for k in UNITS for side in ("lo", "hi", "margin")]
     return edges.groupBy("grp").agg(*picks)
 
 
-def judge(docs: DataFrame, model: str | None = None, reach: float = 4.0, min_tokens: int = 80, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+def beyond(figure: str) -> Column:
+    """Whether a text's figure lies beyond its group's band; false where either is missing."""
+    n = F.greatest(F.col("n_tokens"), F.lit(2))
+    lack = F.least(F.lit(1.0), n / F.lit(float(FULL)))
+    margin = F.col(f"margin_{figure}") / F.sqrt(lack)
+    lo = F.col(f"lo_{figure}") * (F.least(F.lit(1.0), F.log2(n) / F.lit(math.log2(FULL))) if figure == "entropy" else F.lit(1.0))
+    return F.coalesce((F.col(figure) < lo - margin) | (F.col(figure) > F.col(f"hi_{figure}") + margin), F.lit(False))
+
+
+def judge(docs: DataFrame, model: str | None = None, reach: float = 4.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """doc_id, the base counts, base_failed, the fertility figures, band_failed and kept, for every row of `docs`."""
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat)
     measured = measures(docs, model).withColumn("base_failed", base).withColumn("grp", F.coalesce(F.lower("lang"), F.concat(F.lit("script:"), "script")))
     measured = written(measured, "op6-measures")
-    edges = written(bands(measured, reach, min_tokens), "op6-bands").withColumnRenamed("grp", "of")
+    edges = written(bands(measured, reach), "op6-bands").withColumnRenamed("grp", "of")
     joined = measured.join(edges, F.col("grp") == F.col("of"), "left")
-    beyond = F.lit(False)
+    failed = F.lit(False)
     for k in UNITS:
-        beyond = beyond | F.coalesce((F.col(k) < F.col(f"lo_{k}")) | (F.col(k) > F.col(f"hi_{k}")), F.lit(False))
-    joined = joined.withColumn("band_failed", beyond & (F.col("n_tokens") >= min_tokens))
+        failed = failed | beyond(k)
+    joined = joined.withColumn("band_failed", failed)
     names = [c for c in measured.columns if c not in ("lang", "grp", "script")]
     return joined.select(*names, "band_failed", (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"))
