@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +47,7 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return piece_digests(docs)
-
-
-def piece_digests(docs: DataFrame) -> DataFrame:
-    ids = pieces.encode(docs.select("doc_id", "text")).select("doc_id", "ids")
-    done = pieces.decode(ids)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return pieces.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +62,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.read_media(stored)
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clips (shots) of every document's film."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return video.clips(video.encode_media(docs).drop("text"), "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
@@ -76,15 +77,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    import uuid
-
     stored = sharding.write_shards(docs, f"{shared_dir(spark)}/op9-shards-{uuid.uuid4().hex}")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     return stored.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * F.col("m_copies")).alias("taken"))
 
 
@@ -100,6 +99,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
     "pages_language_id": pages_language_id,
+    "media_clips": media_clips,
 }
 
 ESCAPED = r"regexp_replace(replace({0}, '␛', '␛e'), '(<|\[)(/?s>|/?INST\])', '\1␛\2', 'g')"
@@ -122,16 +122,21 @@ ORACLES = {
       least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
       SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept
       FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least ON a = d.doc_id""",
-    "op10_mixing": rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size,
-        -ln((CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '#17'), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
-          / CASE WHEN length(text) > 0 THEN greatest(CAST(0.05 AS DOUBLE), 1 - CAST(3 AS DOUBLE) * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text)) ELSE 1 END AS key FROM documents),
+    "op10_mixing": rf"""WITH p AS (SELECT *, md5(concat_ws('␟', coalesce(CAST(doc_id AS VARCHAR), '␀'), coalesce(text, '␀'), coalesce(lang, '␀'), coalesce(source, '␀'), coalesce(CAST(n_chars AS VARCHAR), '␀'))) AS tie FROM documents),
+      o AS (SELECT *, row_number() OVER (PARTITION BY tie) - 1 AS ordinal FROM p),
+      q AS (SELECT *, CASE WHEN length(text) > 0 THEN greatest(CAST(0.05 AS DOUBLE),
+          greatest(CAST(0.05 AS DOUBLE), 1 - CAST(3 AS DOUBLE) * (length(text) - length(translate(text, '#*$%&|<>!', ''))) / length(text))
+          * (CAST(len(list_distinct(string_split(text, chr(10)))) AS DOUBLE) / len(string_split(text, chr(10))))) ELSE 1 END AS quality FROM o),
+      d AS (SELECT doc_id, source, tie, ordinal, CAST(coalesce(len({WORDS.format("text")}), 0) AS BIGINT) AS size,
+        -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#' || tie || '#' || ordinal || '#17'), 1, 13)) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))
+          / quality AS key FROM q),
       s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
       c AS (SELECT *, CAST(2 AS DOUBLE) * source_size AS cap, (SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) AS budget FROM s),
       l AS (SELECT *, (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
         FROM c WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
       t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / w) FROM l WHERE level * w < cap), 1e300) * w) AS target FROM l),
       e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
-      r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, CAST(doc_id AS VARCHAR)) AS upto
+      r AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, tie, ordinal) AS upto
         FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
       SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN rest > 0 AND upto - CAST(size AS DOUBLE) / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r""",
 }

@@ -5,8 +5,10 @@
 intra frames and detects shots: where the histogram of a frame differs from the one before by more than the mean plus
 `spread` deviations of the last differences (and at least `floor`), a new shot begins.  `clips` gives a timed row per shot.
 
-Defined cases: null and empty texts become one row of 64 zero blocks; equal texts give equal bytes; rows repeat; other
-columns pass through, those named like the outputs are replaced; a null media value gives nulls.
+Defined cases: null and empty texts become one row of 64 zero blocks; equal texts give equal bytes; rows repeat; very long
+texts make films of many frames; other columns pass through, those named like the outputs are replaced; a null media value
+gives nulls; one that cannot be read gives its size and digest, nulls, and the reason as its feature, and has no clips; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, text_runs
 from .jpeg import Frame, encode_bytes
 
 ACROSS, DOWN, FPS = 64, 64, 25
+#: Text stored at a time in a task.
+PART_BYTES = 2_000_000
 
 
 def payload_of(text: str | None) -> bytes:
@@ -120,6 +125,14 @@ def analyse(media: bytes) -> dict:
     return {"fps": fps, "frames": len(frames), "payload": b"".join(parts), "begins": begins, "steps": steps, "histogram": histograms.sum(axis=0)}
 
 
+def readable(media: bytes) -> dict | str:
+    """What `analyse` says, or why the film cannot be read."""
+    try:
+        return analyse(media)
+    except (ValueError, KeyError, IndexError, StopIteration, TypeError, struct.error) as error:
+        return str(error) or type(error).__name__
+
+
 def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """`df` with binary `media`, the AVI of each whole text."""
     df = df.drop(media)
@@ -128,12 +141,11 @@ def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> Dat
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in text_runs(whole, at, PART_BYTES):
                 films = [encode_payload(payload_of(t.as_py())) for t in batch.column(at)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(films, pa.binary())], names=[*whole.schema.names, media])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 READ = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
@@ -149,7 +161,9 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     def facts(film: bytes | None) -> list:
         if film is None:
             return [None] * len(READ)
-        seen = analyse(film)
+        seen = readable(film)
+        if isinstance(seen, str):
+            return [None, None, None, len(film), hashlib.sha256(film).hexdigest(), f"unreadable={seen}"]
         payload, histogram = seen["payload"], seen["histogram"]
         mean = float((histogram * (np.arange(32) * 8 + 4)).sum() / max(1, histogram.sum()))
         steps = seen["steps"]
@@ -157,12 +171,12 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
         return [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(film), hashlib.sha256(film).hexdigest(), feature]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_runs(whole, len(rest), 4 * PART_BYTES)):
             rows = [facts(m.as_py()) for m in batch.column(len(rest))]
             out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), READ.values(), strict=True)] if rows else [pa.array([], t) for t in READ.values()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *out], names=[*rest, *READ])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:
@@ -171,14 +185,14 @@ def clips(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     schema = f"`{key}` {kind}, clip int, first_frame int, n_frames int, start_s double, end_s double"
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_runs(whole, 1, 4 * PART_BYTES)):
             rows = []
             for k, film in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if film.as_py() is not None:
-                    seen = analyse(film.as_py())
+                seen = readable(film.as_py()) if film.is_valid else ""
+                if not isinstance(seen, str):
                     for i, (a, b) in enumerate(zip(seen["begins"], [*seen["begins"][1:], seen["frames"]], strict=True)):
                         rows.append((k, i, a, b - a, a / seen["fps"], b / seen["fps"]))
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()], strict=True)], names=[key, "clip", "first_frame", "n_frames", "start_s", "end_s"])
 
-    return df.select(key, media).mapInArrow(run, schema)
+    return df.select(key, media).mapInArrow(frugal(run), schema)

@@ -220,7 +220,7 @@ def test_licences_are_found(spark, docs):
         want = sorted({f for line, f in plain.items() if line in d["text"].split("\n")})
         assert rows[d["doc_id"]]["families"] == want
         for hit in rows[d["doc_id"]]["hits"]:
-            assert plain[d["text"][hit["start"] : hit["start"] + hit["length"]]] == hit["family"]
+            assert plain[d["text"][hit["start"] : hit["start"] + hit["length"]] + "."] == hit["family"]
     assert model.predict("this software is provided under a licence of our own") is None
 
 
