@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
         add.add_argument(name)
     add.add_argument("width", type=int)
     add.add_argument("height", type=int)
-    add.add_argument("--tile-format", choices=("png", "jpg"), default="png")
+    add.add_argument("--tile-format", choices=("png", "jpg"), default="jpg")
     for name in ("id-attribute", "name-attribute", "super-attribute"):
         add.add_argument(f"--{name}", f"--{name.replace('-', '_')}", dest=name.replace("-", "_"))
     return top

@@ -74,22 +74,40 @@ def within_box(geometry: Column, minx: float, miny: float, maxx: float, maxy: fl
 
 
 def within_polygon(geometry: Column, polygon: Column) -> Column:
-    """Whether every vertex of `geometry` is inside `polygon` (even-odd) and no edge crosses its border properly."""
-    rim = edges(polygon)
+    """Whether no point of `geometry` lies outside `polygon`; points on its border are inside.
 
-    def inside(p: Column) -> Column:
-        hits = F.filter(rim, lambda e: ((e["y1"] > p["y"]) != (e["y2"] > p["y"])) & (p["x"] < e["x1"] + (p["y"] - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-        return F.size(hits) % 2 == 1
+    No edge may cross the border properly, and the middle of every stretch of an edge between its ends and the border's
+    corners that lie on it has to be inside (even-odd) or on the border.
+    """
+    rim = edges(polygon)
 
     def turn(ax, ay, bx, by, cx, cy) -> Column:
         return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
 
+    def on(r: Column, x: Column, y: Column) -> Column:
+        between = (x >= F.least(r["x1"], r["x2"])) & (x <= F.greatest(r["x1"], r["x2"])) & (y >= F.least(r["y1"], r["y2"])) & (y <= F.greatest(r["y1"], r["y2"]))
+        return between & (turn(r["x1"], r["y1"], r["x2"], r["y2"], x, y) == 0)
+
+    def held(x: Column, y: Column) -> Column:
+        hits = F.filter(rim, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+        return (F.size(hits) % 2 == 1) | F.exists(rim, lambda r: on(r, x, y))
+
     def crossing(e: Column, r: Column) -> Column:
         one = turn(e["x1"], e["y1"], e["x2"], e["y2"], r["x1"], r["y1"]) * turn(e["x1"], e["y1"], e["x2"], e["y2"], r["x2"], r["y2"])
         two = turn(r["x1"], r["y1"], r["x2"], r["y2"], e["x1"], e["y1"]) * turn(r["x1"], r["y1"], r["x2"], r["y2"], e["x2"], e["y2"])
         return (one < 0) & (two < 0)
 
-    return F.forall(points(geometry), inside) & ~F.exists(edges(geometry), lambda e: F.exists(rim, lambda r: crossing(e, r)))
+    def stays(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        corners = F.filter(rim, lambda r: on(e, r["x1"], r["y1"]))
+        at = F.transform(corners, lambda r: F.when(F.abs(dx) >= F.abs(dy), (r["x1"] - e["x1"]) / dx).otherwise((r["y1"] - e["y1"]) / dy))
+        stops = F.sort_array(F.concat(F.array(F.lit(0.0).cast("double"), F.lit(1.0).cast("double")), at))
+        pairs = F.arrays_zip(F.slice(stops, F.lit(1), F.size(stops) - 1).alias("a"), F.slice(stops, F.lit(2), F.size(stops) - 1).alias("b"))
+        return F.forall(pairs, lambda p: held(e["x1"] + dx * (p["a"] + p["b"]) / 2, e["y1"] + dy * (p["a"] + p["b"]) / 2))
+
+    inside = F.forall(points(geometry), lambda p: held(p["x"], p["y"]))
+    own = F.filter(edges(geometry), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    return inside & ~F.exists(own, lambda e: F.exists(rim, lambda r: crossing(e, r))) & F.forall(own, stays)
 
 
 def valid_parts(parts) -> bool:
@@ -127,44 +145,73 @@ def orientation(a, b, c):
     return np.sign((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]))
 
 
-def edge_pairs(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every edge of `one` and of `two`: whether they cross properly, and whether they overlap along a line."""
-    a, b, c, d = one[:-1, None], one[1:, None], two[None, :-1], two[None, 1:]
+#: Pairs of edges that are compared at a time.
+PAIRS = 1 << 20
+
+
+def near_pairs(one: np.ndarray, two: np.ndarray):
+    """(i, j) of edges of `one` and `two` whose extents meet, some PAIRS at a time: a sweep along x, then a test of y."""
+    lo1, hi1 = np.minimum(one[:-1], one[1:]), np.maximum(one[:-1], one[1:])
+    lo2, hi2 = np.minimum(two[:-1], two[1:]), np.maximum(two[:-1], two[1:])
+    order = np.argsort(lo2[:, 0], kind="stable")
+    left = lo2[order, 0]
+    widest = (hi2[:, 0] - lo2[:, 0]).max()
+    # Edges of `two` that begin too far left to reach an edge of `one`, or right of it, are left out by binary search.
+    begin, end = np.searchsorted(left, lo1[:, 0] - widest, side="left"), np.searchsorted(left, hi1[:, 0], side="right")
+    n, start = end - begin, 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, side="right")) - 1)
+        size = n[start:stop]
+        i = np.repeat(np.arange(start, stop), size)
+        j = order[np.repeat(begin[start:stop] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        meet = (lo1[i] <= hi2[j]).all(axis=1) & (hi1[i] >= lo2[j]).all(axis=1)
+        yield i[meet], j[meet]
+        start = stop
+
+
+def meeting(a, b, c, d) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For edges ab and cd: whether they cross properly, whether they overlap along a line, whether c lies strictly inside ab."""
     proper = (orientation(a, b, c) * orientation(a, b, d) < 0) & (orientation(c, d, a) * orientation(c, d, b) < 0)
     flat = (orientation(a, b, c) == 0) & (orientation(a, b, d) == 0)
-    axis = np.where(np.abs(b - a)[..., :1] >= np.abs(b - a)[..., 1:], 0, 1)
-    pick = lambda p: np.where(axis[..., 0] == 0, np.broadcast_to(p, np.broadcast_shapes(a.shape, c.shape))[..., 0], np.broadcast_to(p, np.broadcast_shapes(a.shape, c.shape))[..., 1])
+    axis = (np.abs(b - a)[:, 0] < np.abs(b - a)[:, 1]).astype(int)
+    pick = lambda p: np.take_along_axis(p, axis[:, None], axis=1)[:, 0]
     low = np.maximum(np.minimum(pick(a), pick(b)), np.minimum(pick(c), pick(d)))
     high = np.minimum(np.maximum(pick(a), pick(b)), np.maximum(pick(c), pick(d)))
-    return proper, flat & (high > low)
-
-
-def touching_vertices(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """For every vertex of `two` and edge of `one`: whether the vertex lies strictly inside the edge."""
-    a, b, p = one[None, :-1], one[None, 1:], two[:-1, None]
-    dot = ((p - a) * (b - a)).sum(axis=-1)
-    return (orientation(a, b, p) == 0) & (dot > 0) & (dot < ((b - a) ** 2).sum(axis=-1))
+    dot = ((c - a) * (b - a)).sum(axis=1)
+    return proper, flat & (high > low), (orientation(a, b, c) == 0) & (dot > 0) & (dot < ((b - a) ** 2).sum(axis=1))
 
 
 def simple_ring(xy: np.ndarray) -> bool:
-    proper, overlap = edge_pairs(xy, xy)
-    other = ~np.eye(len(xy) - 1, dtype=bool)
-    return not (proper & other).any() and not (overlap & other).any() and len(np.unique(xy[:-1], axis=0)) == len(xy) - 1 and not touching_vertices(xy, xy).any()
+    if len(np.unique(xy[:-1], axis=0)) != len(xy) - 1:
+        return False
+    for i, j in near_pairs(xy, xy):
+        i, j = i[i != j], j[i != j]
+        if any(found.any() for found in meeting(xy[i], xy[i + 1], xy[j], xy[j + 1])):
+            return False
+    return True
 
 
 def crossing_rings(one: np.ndarray, two: np.ndarray) -> bool:
-    proper, overlap = edge_pairs(one, two)
-    return bool(proper.any() or overlap.any())
+    for i, j in near_pairs(one, two):
+        proper, overlap, _ = meeting(one[i], one[i + 1], two[j], two[j + 1])
+        if proper.any() or overlap.any():
+            return True
+    return False
 
 
 def inside_ring(shell: np.ndarray, ring: np.ndarray) -> bool:
     """Whether the ring lies inside, judged by its vertices that are not on the shell's border (even-odd)."""
-    a, b, p = shell[None, :-1], shell[None, 1:], ring[:-1, None]
-    border = (touching_vertices(shell, ring) | (p == a).all(axis=-1)).any(axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        hit = ((a[..., 1] > p[..., 1]) != (b[..., 1] > p[..., 1])) & (p[..., 0] < a[..., 0] + (p[..., 1] - a[..., 1]) * (b[..., 0] - a[..., 0]) / (b[..., 1] - a[..., 1]))
-    odd = hit.sum(axis=1) % 2 == 1
-    return bool(odd[~border].all()) if (~border).any() else True
+    border = (ring[:-1, None] == shell[None, :-1]).all(axis=-1).any(axis=1) if len(ring) * len(shell) <= PAIRS else np.array([(p == shell[:-1]).all(axis=1).any() for p in ring[:-1]])
+    for i, j in near_pairs(shell, ring):
+        border[j[meeting(shell[i], shell[i + 1], ring[j], ring[j + 1])[2]]] = True
+    a, b = shell[:-1], shell[1:]
+    for p in ring[:-1][~border]:
+        over = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
+        u, v = a[over], b[over]
+        if (p[0] < u[:, 0] + (p[1] - u[:, 1]) * (v[:, 0] - u[:, 0]) / (v[:, 1] - u[:, 1])).sum() % 2 == 0:
+            return False
+    return True
 
 
 def is_valid(geometry: Column) -> Column:

@@ -1,8 +1,8 @@
 """Rasterising polygons to row intervals, and masks cut to windows.
 
 A pixel is set where the polygon's interior overlaps its open square with positive area.  A label is rasterised once, on
-the raster's own grid; window offsets are whole pixels, so a window's mask is the label's mask cut and shifted.  All
-grouping is by label, so one hash partitioning of the labels serves every step and nothing is shuffled in between.
+the raster's own grid, in one Arrow kernel for a batch of labels; window offsets are whole pixels, so a window's mask is
+the label's mask cut and shifted.  A label's rows stay beside it as one nested column, so nothing is grouped or joined.
 """
 
 from __future__ import annotations
@@ -17,38 +17,104 @@ from ..functions.arrow import arrow_scalar
 from ..functions.rle import counts_of, to_string
 
 
-def row_intervals(labels: DataFrame) -> DataFrame:
-    """label_ord, row, runs: the label's pixels in each row as disjoint, non-touching [c0, c1] runs in order."""
-    e = labels.select("label_ord", F.explode("edges").alias("e")).select("label_ord", "e.*")
-    flat = F.col("y1") == F.col("y2")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    first, last = F.floor(low).cast("int"), (F.ceil(high) - 1).cast("int")
-    last = F.when(flat, first).otherwise(last)
-    e = e.filter(~(flat & (F.col("y1") == F.floor("y1")))).withColumns({"lo": low, "hi": high, "flat": flat, "row": F.explode(F.sequence(first, last))})
-
-    def x_at(y: Column) -> Column:
-        return F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+#: Row pieces of edges that are worked on at a time in a task.
+PIECES = 2_000_000
+ROWS = "array<struct<row:int,runs:array<struct<c0:int,c1:int>>>>"
+
+
+def rasterise(starts: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(label, row, c0, c1) of the disjoint, non-touching runs of labels 0, 1, ...; label i has the edges from starts[i] on."""
+    label = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    flat = y1 == y2
+    keep = ~(flat & (y1 == np.floor(y1)))
+    label, flat, x1, y1, x2, y2 = (v[keep] for v in (label, flat, x1, y1, x2, y2))
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    first = np.floor(low).astype(np.int64)
+    n = np.where(flat, 1, np.ceil(high).astype(np.int64) - first)
+    at = np.repeat(np.arange(len(n)), n)
+    row = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    label, flat, low, high = label[at], flat[at], low[at], high[at]
+    ax, ay, dx, dy = x1[at], y1[at], (x2 - x1)[at], np.where(flat, 1.0, (y2 - y1)[at])
+    xa = np.where(flat, ax, ax + (np.maximum(low, row) - ay) * dx / dy)
+    xb = np.where(flat, x2[at], ax + (np.minimum(high, row + 1) - ay) * dx / dy)
+    c0, c1 = np.floor(np.minimum(xa, xb)).astype(np.int64), np.ceil(np.maximum(xa, xb)).astype(np.int64) - 1
+    # Where the line through a row's middle crosses the outline, pixels between the first and second crossing and so on are inside.
+    middle = row + 0.5
+    hit = ~flat & (middle >= low) & (middle < high)
+    x, hit_label, hit_row = (ax + (middle - ay) * dx / dy)[hit], label[hit], row[hit]
+    order = np.lexsort((x, hit_row, hit_label))
+    x, hit_label, hit_row = x[order], hit_label[order], hit_row[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (hit_label[1:] != hit_label[:-1]) | (hit_row[1:] != hit_row[:-1])
+    place = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else np.empty(0, np.int64)
+    begin = np.flatnonzero((place % 2 == 0)[:-1] & ~new[1:]) if len(x) else np.empty(0, np.int64)
+    f0, f1 = np.ceil(x[begin] - 0.5).astype(np.int64), np.ceil(x[begin + 1] - 0.5).astype(np.int64) - 1
+    label, row = np.concatenate([label, hit_label[begin]]), np.concatenate([row, hit_row[begin]])
+    return merged(label, row, np.concatenate([c0, f0]), np.concatenate([c1, f1]))
+
+
+def merged(label: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs in order, empty ones left out, overlapping and adjoining ones of a row joined."""
+    full = c0 <= c1
+    label, row, c0, c1 = label[full], row[full], c0[full], c1[full]
+    if not len(c0):
+        return label, row, c0, c1
+    order = np.lexsort((c0, row, label))
+    label, row, c0, c1 = label[order], row[order], c0[order], c1[order]
+    line = np.concatenate([[0], np.cumsum((label[1:] != label[:-1]) | (row[1:] != row[:-1]))])
+    # The furthest column so far within each row: rows are set apart by more than any column is wide.
+    shift = line * (c1.max() - c0.min() + 2)
+    reach = np.maximum.accumulate(c1 + shift)
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (c0[1:] + shift[1:] > reach[:-1] + 1)])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(c0)) - 1
+    return label[begin], row[begin], c0[begin], (reach - shift)[end]
+
+
+def nested_rows(n_labels: int, label: np.ndarray, row: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> pa.Array:
+    """An array of ROWS, one value per label: every row from a label's first to its last, empty ones included."""
+    lines = np.concatenate([[True], (label[1:] != label[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.empty(0, bool)
+    at = np.flatnonzero(lines)
+    line_label, line_row = label[at], row[at]
+    runs = np.diff(np.append(at, len(row)))
+    follows = np.concatenate([line_label[1:] == line_label[:-1], [False]]) if len(at) else np.empty(0, bool)
+    span = np.where(follows, np.append(line_row[1:], 0) - line_row, 1)  # a line and the empty ones after it
+    first = np.cumsum(span) - span
+    counts = np.zeros(int(span.sum()), np.int64)
+    counts[first] = runs
+    rows = np.repeat(line_row - first, span) + np.arange(len(counts))
+    of_label = np.bincount(np.repeat(line_label, span), minlength=n_labels)
+    pair = pa.StructArray.from_arrays([pa.array(c0, pa.int32()), pa.array(c1, pa.int32())], names=["c0", "c1"])
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pair)
+    lines = pa.StructArray.from_arrays([pa.array(rows, pa.int32()), inner], names=["row", "runs"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of_label)]), pa.int32()), lines)
+
+
+def label_rows(edges: Column) -> Column:
+    """ROWS of a label from its edges in pixels."""
 
-    xa = F.when(F.col("flat"), F.col("x1")).otherwise(x_at(F.greatest("lo", F.col("row").cast("double"))))
-    xb = F.when(F.col("flat"), F.col("x2")).otherwise(x_at(F.least("hi", (F.col("row") + 1).cast("double"))))
-    middle = F.col("row") + F.lit(0.5).cast("double")
-    crossing = F.when(~F.col("flat") & (middle >= F.col("lo")) & (middle < F.col("hi")), x_at(middle))
-    e = e.withColumns({"c0": F.floor(F.least(xa, xb)).cast("int"), "c1": (F.ceil(F.greatest(xa, xb)) - 1).cast("int"), "x": crossing})
-    rows = e.groupBy("label_ord", "row").agg(F.collect_list(F.when(F.col("c0") <= F.col("c1"), F.struct("c0", "c1"))).alias("cover"), F.sort_array(F.collect_list("x")).alias("xs"))
-    fill = F.when(F.size("xs") > 1, F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.ceil(F.get("xs", i) - 0.5).cast("int").alias("c0"), (F.ceil(F.get("xs", i + 1) - 0.5) - 1).cast("int").alias("c1")))).otherwise(F.array().cast("array<struct<c0:int,c1:int>>"))
-    all_runs = F.sort_array(F.concat("cover", F.filter(fill, lambda r: r["c0"] <= r["c1"])))
-    return rows.select("label_ord", "row", merged(all_runs).alias("runs")).filter(F.size("runs") > 0)
-
-
-def merged(runs: Column) -> Column:
-    """Sorted [c0, c1] runs with overlapping and adjoining ones joined."""
+    def encode(values: pa.Array) -> pa.Array:
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(values), 0).to_numpy(zero_copy_only=False))
+        flat = values.flatten()
+        x1, y1, x2, y2 = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+        tall = np.concatenate([[0], np.cumsum(np.abs(np.ceil(y2) - np.floor(y1)) + 1)])
+        starts, parts, begin = np.concatenate([[0], ends]).astype(np.int64), [], 0
+        while begin < len(values):
+            # As many labels as stay within PIECES, one at least.
+            end = max(begin + 1, int(np.searchsorted(tall[starts], tall[starts[begin]] + PIECES, side="right")) - 1)
+            end = min(end, len(values))
+            cut = slice(starts[begin], starts[end])
+            parts.append(nested_rows(end - begin, *rasterise(starts[begin : end + 1] - starts[begin], x1[cut], y1[cut], x2[cut], y2[cut])))
+            begin = end
+        return pa.concat_arrays(parts) if parts else pa.array([], values.type)
+
+    return arrow_scalar(encode, ROWS)(edges)
 
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["c0"].alias("c0"), F.greatest(last["c1"], r["c1"]).alias("c1"))))
-        return F.when(F.size(acc) == 0, F.array(r)).when(r["c0"] <= last["c1"] + 1, longer).otherwise(F.concat(acc, F.array(r)))
 
-    return F.aggregate(runs, F.array().cast("array<struct<c0:int,c1:int>>"), step)
+def row_intervals(labels: DataFrame) -> DataFrame:
+    """label_ord, row, runs: the label's pixels in each row as disjoint, non-touching [c0, c1] runs in order."""
+    rows = labels.select("label_ord", F.explode(label_rows(F.col("edges"))).alias("r"))
+    return rows.select("label_ord", "r.row", "r.runs").filter(F.size("runs") > 0)
 
 
 def cut_invalid(rows: DataFrame, invalid: DataFrame) -> DataFrame:
@@ -65,22 +131,38 @@ def cut_invalid(rows: DataFrame, invalid: DataFrame) -> DataFrame:
     return joined.select("label_ord", "row", runs.alias("runs")).filter(F.size("runs") > 0)
 
 
-def window_masks(pairs: DataFrame, rows: DataFrame, width: int, height: int, raster: tuple[int, int] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """label_ord, window_ord, rows array<struct<row, c0, c1>> relative to the window; (label, window) pairs without a pixel drop out.
+def without_invalid(labels: DataFrame, invalid: DataFrame) -> DataFrame:
+    """`labels` (label_ord, rows, ...) with the pixels of `invalid` taken out of `rows`."""
+    lines = labels.select("label_ord", F.explode("rows").alias("r")).select("label_ord", "r.row", "r.runs").filter(F.size("runs") > 0)
+    left = cut_invalid(lines, invalid).groupBy("label_ord").agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias("rows"))
+    # Every row from the first to the last again, so that windows find theirs by position.
+    first, last = F.col("rows")[0]["row"], F.element_at("rows", -1)["row"]
+    held = F.map_from_entries("rows")
+    none = F.array().cast("array<struct<c0:int,c1:int>>")
+    whole = F.transform(F.sequence(first, last), lambda r: F.struct(r.alias("row"), F.coalesce(F.element_at(held, r), none).alias("runs")))
+    rest = [c for c in labels.columns if c != "rows"]
+    return labels.select(*rest).join(left.select("label_ord", whole.alias("rows")), "label_ord", "left").withColumn("rows", F.coalesce("rows", F.array().cast(ROWS)))
+
 
-    `pairs`: label_ord, window_ord, col_off, row_off.  `raster`: its (width, height); pixels beyond are padding, never set.
-    `carried`: further columns of `pairs` to keep.
+def window_masks(pairs: DataFrame, width: int, height: int, raster: tuple[int, int] | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """label_ord, window_ord, rows array<struct<row, c0, c1>> relative to the window; empty where no pixel lies in the window.
+
+    `pairs`: label_ord, window_ord, col_off, row_off and the label's `rows` (see ROWS), of which a window takes its own by
+    position.  `raster`: its (width, height); pixels beyond are padding, never set.  `carried`: further columns to keep.
     """
-    # Runs of a label are gathered before they meet its windows: one join by label, whatever the number of windows.
-    whole = rows.groupBy("label_ord").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct(F.col("row").alias("row"), r["c0"].alias("c0"), r["c1"].alias("c1"))))).alias("runs"))
-    joined = pairs.select("label_ord", "window_ord", "col_off", "row_off", *carried).join(whole, "label_ord")
     right, bottom = F.col("col_off") + width - 1, F.col("row_off") + height - 1
     if raster:
         right, bottom = F.least(right, F.lit(raster[0] - 1)), F.least(bottom, F.lit(raster[1] - 1))
     top, left = F.greatest("row_off", F.lit(0)), F.greatest("col_off", F.lit(0))
-    seen = F.filter("runs", lambda r: (r["row"] >= top) & (r["row"] <= bottom) & (r["c1"] >= left) & (r["c0"] <= right))
-    moved = F.transform(seen, lambda r: F.struct((r["row"] - F.col("row_off")).alias("row"), (F.greatest(r["c0"], left) - F.col("col_off")).alias("c0"), (F.least(r["c1"], right) - F.col("col_off")).alias("c1")))
-    return joined.select("label_ord", "window_ord", "col_off", "row_off", *carried, F.sort_array(moved).alias("rows")).filter(F.size("rows") > 0)
+    first = F.coalesce(F.get("rows", F.lit(0))["row"], F.lit(0))
+    begin = F.greatest(F.lit(0), top - first)
+    seen = F.slice("rows", begin + 1, F.greatest(F.lit(0), bottom - first - begin + 1))
+
+    def cut(line: Column) -> Column:
+        inside = F.filter(line["runs"], lambda r: (r["c1"] >= left) & (r["c0"] <= right))
+        return F.transform(inside, lambda r: F.struct((line["row"] - F.col("row_off")).alias("row"), (F.greatest(r["c0"], left) - F.col("col_off")).alias("c0"), (F.least(r["c1"], right) - F.col("col_off")).alias("c1")))
+
+    return pairs.select("label_ord", "window_ord", "col_off", "row_off", *carried, F.flatten(F.transform(seen, cut)).alias("rows"))
 
 
 def area(rows: Column) -> Column:

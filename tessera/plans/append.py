@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +53,20 @@ class Raster:
 def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept windows, masks) of labels with label_ord, geometry, is_multi and category id.
 
-    Kept windows are those that any label touches, even if no pixel comes of it.
+    Kept windows are those that any label touches, even if no pixel comes of it.  Both are read several times by what
+    follows (ids need counts first), so the masks of all touched windows are computed once and persisted.
     """
     schema = grid.schema
-    # One exchange by label, of geometries: everything below groups and joins by label and needs no other.
-    slim = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd")).repartition("label_ord")
+    slim = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
     shaped = with_edges(slim, raster.transform)
-    pairs = windows.label_windows(shaped, grid)
-    kept = pairs.select("window_ord", "col_off", "row_off").distinct()
-    rows = masks.row_intervals(shaped)
+    shaped = shaped.withColumn("rows", masks.label_rows(F.col("edges"))).drop("geometry")
     if invalid is not None:
-        rows = masks.cut_invalid(rows, invalid)
+        shaped = masks.without_invalid(shaped, invalid)
     carried = ("category_id", "iscrowd")
-    return kept, masks.window_masks(pairs, rows, schema.width_window, schema.height_window, (raster.width, raster.height), carried)
+    size = (raster.width, raster.height)
+    found = masks.window_masks(windows.label_windows(shaped, grid), schema.width_window, schema.height_window, size, carried)
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    return found.select("window_ord", "col_off", "row_off").distinct(), found.filter(F.size("rows") > 0)
 
 
 def image_rows(kept: DataFrame, start: int, images_dir: str, source_id: int, schema: windows.WindowSchema, date_captured, suffix: str) -> DataFrame:
@@ -89,7 +91,7 @@ def annotation_rows(cut: DataFrame, images: DataFrame, start: int, schema: windo
 def append_dataset(
     dataset: Dataset, images_dir: str, raster: Raster, window_bounds: list[tuple[int, int]], labels: DataFrame,
     id_attribute: str | None = None, name_attribute: str | None = None, super_attribute: str | None = None,
-    label_srid: int | None = None, id_policy: str = "compat", ensure_cover: bool = False, suffix: str = "png", write_tiles: bool = True,
+    label_srid: int | None = None, id_policy: str = "compat", ensure_cover: bool = False, suffix: str = "jpg", write_tiles: bool = True,
 ) -> Dataset:
     """A new dataset with the categories, source, images and annotations of these labels; nothing changes if it fails.
 
@@ -109,12 +111,8 @@ def append_dataset(
     version, source_id, new = version_after(dataset, raster.path, images_dir)
 
     nodata = pixels_of.nodata_value(raster.nodata)
-    eight_bit = None
-    invalid = None
-    if raster.pixels is not None:
-        eight_bit = raster.dtype == "uint8"
-        if eight_bit:
-            invalid = pixels_of.invalid_runs(raster.pixels, nodata)
+    eight_bit = raster.dtype == "uint8"
+    invalid = pixels_of.invalid_runs(raster.pixels, nodata) if raster.pixels is not None else None
     kept, cut = annotate(labels, raster, grid, invalid)
     images = image_rows(kept, dataset.count("images"), images_dir, source_id, schema, raster.date_captured, suffix)
     annotations = annotation_rows(cut, images, dataset.count("annotations"), schema)

@@ -57,13 +57,29 @@ wpx AS (SELECT t.k, t.window_ord, p.r - t.row_off AS r, p.c - t.col_off AS c, t.
 ann AS (SELECT k, window_ord, count(*) AS area, CAST(min(c) AS INT) AS x, CAST(min(r) AS INT) AS y, CAST(max(c) - min(c) + 1 AS INT) AS w, CAST(max(r) - min(r) + 1 AS INT) AS h FROM wpx GROUP BY k, window_ord),
 img AS (SELECT window_ord, row_number() OVER (ORDER BY window_ord) AS image_id FROM (SELECT DISTINCT window_ord FROM touch))
 """
+RLE = CUT + """,
+flat AS (SELECT k, window_ord, c * height + r AS p, width * height AS total FROM wpx),
+isl AS (SELECT k, window_ord, p, total, p - row_number() OVER (PARTITION BY k, window_ord ORDER BY p) AS g FROM flat),
+runs AS (SELECT k, window_ord, any_value(total) AS total, min(p) AS s, count(*) AS n FROM isl GROUP BY k, window_ord, g),
+gaps AS (SELECT k, window_ord, total, s, n, s - coalesce(lag(s + n) OVER w, 0) AS gap, row_number() OVER w AS i FROM runs WINDOW w AS (PARTITION BY k, window_ord ORDER BY s)),
+cnt AS (SELECT k, window_ord, 2 * i - 2 AS i, gap AS n FROM gaps UNION ALL SELECT k, window_ord, 2 * i - 1, n FROM gaps
+  UNION ALL SELECT k, window_ord, 2 * max(i), any_value(total) - max(s + n) FROM gaps GROUP BY k, window_ord HAVING max(s + n) < any_value(total)),
+dif AS (SELECT k, window_ord, i, CAST(n - CASE WHEN i > 2 THEN lag(n, 2) OVER (PARTITION BY k, window_ord ORDER BY i) ELSE 0 END AS BIGINT) AS x FROM cnt),
+grp AS (SELECT *, CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512 AND 511 THEN 2 WHEN x BETWEEN -16384 AND 16383 THEN 3 WHEN x BETWEEN -524288 AND 524287 THEN 4 ELSE 5 END AS g FROM dif),
+enc AS (SELECT k, window_ord, string_agg(chr(CAST(48 + ((x + 1099511627776) // CAST(pow(32, j) AS BIGINT)) % 32 + CASE WHEN j < g - 1 THEN 32 ELSE 0 END AS INT)), '' ORDER BY i, j) AS counts
+  FROM (SELECT *, unnest(range(0, g)) AS j FROM grp) GROUP BY k, window_ord),
+whole AS (SELECT row_number() OVER (ORDER BY a.window_ord, size_id, a.k) AS id, image_id, size_id AS category_id, area, a.x AS x, a.y AS y, a.w AS w, a.h AS h, CAST(a.k % 7 = 0 AS INT) AS iscrowd, counts
+  FROM ann a JOIN geo USING (k) JOIN img USING (window_ord) JOIN enc ON enc.k = a.k AND enc.window_ord = a.window_ord)
+"""
 LABELS = "SELECT p_partkey AS ord, CAST(p_size AS BIGINT) AS size_id, p_brand AS brand, p_type AS kind FROM part"
 BY_ID = "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, 'nation' AS supercategory FROM nation WHERE n_nationkey > 0"
 BY_NAME = "(SELECT CAST(min(p_partkey) * 10 AS BIGINT) AS id, p_brand AS name, 'old' AS supercategory FROM part WHERE p_partkey <= 3 GROUP BY p_brand UNION ALL SELECT 500, 'unused', 'old')"
 TILES = """
 raster AS (SELECT CAST(vec_id AS INT) AS r, unnest(range(0, 64)) AS c, CAST(embedding[c + 1] AS DOUBLE) AS v0 FROM embeddings),
 cells AS (SELECT r, CAST(c AS INT) AS c, CASE WHEN r % 3 = 0 AND v0 < 0 THEN CAST(0 AS DOUBLE) ELSE v0 END AS v FROM raster),
-wins AS (SELECT CAST(i AS BIGINT) AS window_ord, CAST(floor(i / 5) AS INT) * 20 AS col_off, CAST(i % 5 AS INT) * 40 AS row_off FROM range(0, 20) t(i)),
+deep AS (SELECT max(r) AS last FROM cells),
+wins AS (SELECT CAST(ri * 4 + ci AS BIGINT) AS window_ord, CAST(ci AS INT) * 20 AS col_off, CAST(ri AS INT) * 40 AS row_off
+  FROM (SELECT unnest(range(0, CAST(floor((last + 20) / 40) AS BIGINT) + 1)) AS ri FROM deep) a, (SELECT unnest(range(0, 4)) AS ci) b),
 spots AS (SELECT window_ord, CAST(a.r AS INT) AS "row", CAST(b.c AS INT) AS col, row_off + a.r AS sr, col_off + b.c AS sc FROM wins, range(0, 40) a(r), range(0, 24) b(c))
 """
 
@@ -80,6 +96,13 @@ def named(policy: str, parent: str) -> str:
     return f"WITH {fresh('SELECT * FROM ' + BY_NAME, 'brand', 'brand', parent, 'name')} SELECT CAST(row_number() OVER (ORDER BY key) + ({base}) AS BIGINT) AS id, key AS name, supercategory FROM nw"
 
 
+def appended(part: int) -> str:
+    """Annotations and number of images of the labels of one remainder of two, appended to an empty dataset."""
+    chain = CUT.replace("p_type AS kind FROM part", f"p_type AS kind FROM part WHERE p_partkey % 2 = {part}")
+    return f"""(WITH {chain} SELECT row_number() OVER (ORDER BY a.window_ord, size_id, a.k) AS id, image_id, size_id AS category_id, CAST(area AS DOUBLE) AS area, a.x AS x, a.y AS y, a.w AS w, a.h AS h,
+      (SELECT count(*) FROM img) AS n_images FROM ann a JOIN geo USING (k) JOIN img USING (window_ord))"""
+
+
 MERGED = f"{fresh(BY_ID, 'size_id', 'brand', 'kind', 'id')}, cats AS (SELECT * FROM ex UNION ALL SELECT key, name, supercategory FROM nw)"
 STEP = "CASE WHEN new_dir THEN 'major' WHEN new_source THEN 'minor' ELSE 'patch' END"
 
@@ -95,8 +118,9 @@ ORACLES = {
     "label_category_join": f"WITH {MERGED} SELECT l.ord AS label_ord, c.id, c.name, c.supercategory FROM l JOIN cats c ON c.id = l.size_id",
     "label_bounds": f"WITH {GEO} SELECT k AS label_ord, minx, -maxy AS miny, maxx, -miny AS maxy FROM lb",
     "label_quantile": f"WITH {GEO} SELECT CAST(q AS DOUBLE) AS q, w[i] AS width, h[i] AS height FROM (SELECT quantile_cont(maxx - minx, [0.1, 0.5, 0.8, 0.9]) AS w, quantile_cont(maxy - miny, [0.1, 0.5, 0.8, 0.9]) AS h FROM lb), (VALUES (1, 0.1), (2, 0.5), (3, 0.8), (4, 0.9)) v(i, q)",
-    "label_filters": f"""WITH {GEO} SELECT lb.k AS label_ord, size_id FROM lb JOIN geo USING (k) WHERE size_id IN (1, 5, 9, 20, 33, 48) AND
-      NOT EXISTS (SELECT 1 FROM pts p WHERE p.k = lb.k AND NOT (((p.y > 500 AND p.y <= 2500) OR (p.y >= 500 AND p.y < 2500)) AND p.x >= 500 AND p.x < 2500 AND (-p.y >= -2500 AND -p.y < -500)))""",
+    # A box is convex: a label is within it, border included, where its extent is.
+    "label_filters": f"""WITH {GEO} SELECT lb.k AS label_ord, size_id FROM lb JOIN geo USING (k) WHERE size_id IN (1, 5, 9, 20, 33, 48)
+      AND minx >= 500 AND maxx <= 2500 AND -maxy >= -2500 AND -miny <= -500""",
     "window_schema": f"WITH {GRID} SELECT ww AS width_window, wh AS height_window, ow AS width_overlap, oh AS height_overlap, sw AS width_step, sh AS height_step FROM ax",
     "parent_window": f"WITH {GRID} SELECT CAST(pl AS DOUBLE) AS col_off, CAST(pt AS DOUBLE) AS row_off, CAST(pr - pl AS DOUBLE) AS width, CAST(pb - pt AS DOUBLE) AS height FROM cfg",
     "window_offsets": f"WITH {GRID} SELECT window_ord, ci, ri, col_off, row_off, width, height FROM win",
@@ -113,14 +137,24 @@ ORACLES = {
       runs AS (SELECT k, window_ord, any_value(total) AS total, min(p) AS s, count(*) AS n FROM isl GROUP BY k, window_ord, g),
       gaps AS (SELECT k, window_ord, total, s, n, s - coalesce(lag(s + n) OVER (PARTITION BY k, window_ord ORDER BY s), 0) AS gap FROM runs)
       SELECT k AS label_ord, window_ord, string_agg(gap || ',' || n, ',' ORDER BY s) || CASE WHEN max(s + n) < any_value(total) THEN ',' || (any_value(total) - max(s + n)) ELSE '' END AS counts FROM gaps GROUP BY k, window_ord""",
-    "images": f"WITH {TOUCH}, img AS (SELECT DISTINCT window_ord, col_off, row_off, width, height FROM touch) SELECT row_number() OVER (ORDER BY window_ord) AS id, width, height, '/data/images/1_' || col_off || '_' || row_off || '_' || width || '_' || height || '.png' AS file_name, CAST(1 AS BIGINT) AS source_id FROM img",
+    "images": f"WITH {TOUCH}, img AS (SELECT DISTINCT window_ord, col_off, row_off, width, height FROM touch) SELECT row_number() OVER (ORDER BY window_ord) AS id, width, height, '/data/images/1_' || col_off || '_' || row_off || '_' || width || '_' || height || '.jpg' AS file_name, CAST(1 AS BIGINT) AS source_id FROM img",
     "annotations": f"""WITH {CUT} SELECT row_number() OVER (ORDER BY a.window_ord, size_id, a.k) AS id, image_id, size_id AS category_id, CAST(area AS DOUBLE) AS area, a.x, a.y, a.w, a.h,
       CAST(a.k % 7 = 0 AS INT) AS iscrowd, 256 AS "rows", 256 AS cols FROM ann a JOIN geo USING (k) JOIN img USING (window_ord)""",
-    "tile_pad": f'WITH {TILES} SELECT window_ord, "row", col, coalesce(v, CAST(-9 AS DOUBLE)) AS value FROM spots LEFT JOIN cells ON r = sr AND c = sc AND r < 190',
+    "annotation_masks": f'WITH {RLE} SELECT id, image_id, 256 AS "rows", 256 AS cols, counts FROM whole',
+    "append_twice": f"""WITH one AS {appended(0)}, two AS {appended(1)}
+      SELECT id, image_id, category_id, area, x, y, w, h, CAST(1 AS BIGINT) AS source_id, '/data/even' AS dir, '2.0.0' AS version, 1 AS n_sources FROM one
+      UNION ALL SELECT id + (SELECT count(*) FROM one), image_id + (SELECT max(n_images) FROM one), category_id, area, x, y, w, h, 1, '/data/odd', '2.0.0', 1 FROM two""",
+    "coco_json": f"""WITH {RLE}, {MERGED}, pic AS (SELECT DISTINCT window_ord, col_off, row_off, width, height FROM touch)
+      SELECT 'images' AS "table", '{{"id":' || row_number() OVER (ORDER BY window_ord) || ',"width":' || width || ',"height":' || height || ',"file_name":"/data/images/1_' || col_off || '_' || row_off || '_' || width || '_' || height
+        || '.jpg","source_id":1,"date_captured":null}}' AS j FROM pic
+      UNION ALL SELECT 'annotations', '{{"id":' || id || ',"image_id":' || image_id || ',"category_id":' || category_id || ',"segmentation":{{"size":[256,256],"counts":"' || replace(counts, '\\', '\\\\') || '"}},"area":' || area
+        || '.0,"bbox":[' || x || ',' || y || ',' || w || ',' || h || '],"iscrowd":' || iscrowd || '}}' FROM whole
+      UNION ALL SELECT 'categories', '{{"id":' || id || ',"name":"' || name || '","supercategory":"' || supercategory || '"}}' FROM cats""",
+    "tile_pad": f'WITH {TILES} SELECT window_ord, "row", col, coalesce(v, CAST(-9 AS DOUBLE)) AS value FROM spots LEFT JOIN cells ON r = sr AND c = sc',
     "tile_normalize": f"""WITH {TILES}, f AS (SELECT window_ord, "row", col, coalesce(v, CAST(0 AS DOUBLE)) AS v FROM spots LEFT JOIN cells ON r = sr AND c = sc),
       e AS (SELECT *, min(v) OVER (PARTITION BY window_ord) AS lo, max(v) OVER (PARTITION BY window_ord) AS hi FROM f)
       SELECT window_ord, "row", col, CASE WHEN hi > lo THEN CAST(round_even((v - lo) * CAST(255 AS DOUBLE) / (hi - lo), 0) AS INT) ELSE 0 END AS value FROM e""",
-    "raster_reshape": f"""WITH {TILES}, frame AS (SELECT CAST(b AS INT) AS band, CAST(r AS INT) AS "row", CAST(c AS INT) AS c FROM range(0, 2) x(b), range(0, 300) y(r), range(0, 80) z(c)),
+    "raster_reshape": f"""WITH {TILES}, frame AS (SELECT CAST(b AS INT) AS band, CAST(r AS INT) AS "row", CAST(c AS INT) AS c FROM range(0, 2) x(b), (SELECT unnest(range(0, last + 1 + (last + 1) // 10)) AS r FROM deep) y, range(0, 80) z(c)),
       f AS (SELECT band, frame."row", frame.c, coalesce(v, CAST(-1 AS DOUBLE)) AS v FROM frame LEFT JOIN cells ON band = 0 AND cells.r = frame."row" AND cells.c = frame.c)
       SELECT band, "row", CAST(count(*) AS INT) AS n, count(*) FILTER (v = -1) AS padded, round(max(v) FILTER (c = 5), 5) AS sixth FROM f GROUP BY band, "row" """,
     "pixel_validity": f"""WITH {TILES}, isl AS (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) AS g FROM cells WHERE v = 0)

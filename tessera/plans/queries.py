@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ..functions.geometry import bounds, with_edges
 from ..functions.versions import bump_column
 from ..operators import masks, raster, windows
 from ..operators.categories import add_categories, new_categories
+from ..operators.dataset import create_dataset
 from ..operators.labels import join_categories, violations
-from .append import annotate, annotation_rows, image_rows
+from .append import annotate, annotation_rows, append_dataset, image_rows
 from .scenes import SCENE, WINDOW_BOUNDS, embedding_raster, label_scene, scene_grid, table, tile_windows
 
 
@@ -146,7 +149,7 @@ def rle_counts(spark, sf_dir):
 
 def scene_images(spark, sf_dir) -> tuple[DataFrame, DataFrame, windows.Grid]:
     kept, cut, grid = scene_masks(spark, sf_dir)
-    return image_rows(kept, 0, "/data/images", 1, grid.schema, None, "png"), cut, grid
+    return image_rows(kept, 0, "/data/images", 1, grid.schema, None, "jpg"), cut, grid
 
 
 def images(spark, sf_dir):
@@ -160,23 +163,42 @@ def annotations(spark, sf_dir):
 
 
 def annotation_masks(spark, sf_dir):
-    """Whole annotations with their encoded masks (checked by decoding, in the tests)."""
+    """Annotations with their encoded masks."""
     found, cut, grid = scene_images(spark, sf_dir)
-    return annotation_rows(cut, found, 0, grid.schema)
+    rows = annotation_rows(cut, found, 0, grid.schema)
+    return rows.select("id", "image_id", F.col("segmentation.size")[0].alias("rows"), F.col("segmentation.size")[1].alias("cols"), F.col("segmentation.counts").alias("counts"))
+
+
+def append_twice(spark, sf_dir):
+    """A dataset after two appends of one raster to two folders: every annotation, with the version and sources in the end."""
+    dataset = create_dataset(spark, "parts", "bench", date_created=datetime(2020, 1, 1))
+    for part, folder in enumerate(("/data/even", "/data/odd")):
+        labels = label_scene(spark, sf_dir).filter(F.col("label_ord") % 2 == part)
+        dataset = append_dataset(dataset, folder, SCENE, WINDOW_BOUNDS, labels, "size_id", "brand", "kind", label_srid=SCENE.srid)
+    found = dataset.annotations.join(dataset.images.select(F.col("id").alias("i"), "file_name", "source_id"), F.col("image_id") == F.col("i"))
+    folder = F.regexp_replace("file_name", "/[^/]*$", "")
+    box = [F.col("bbox")[k].alias(n) for k, n in enumerate(("x", "y", "w", "h"))]
+    return found.select("id", "image_id", "category_id", "area", *box, "source_id", folder.alias("dir"), F.lit(dataset.info["version"]).alias("version"), F.lit(dataset.count("sources")).alias("n_sources"))
 
 
 def tile_pad(spark, sf_dir):
-    tiles = raster.tile_rows(embedding_raster(spark, sf_dir).filter("row < 190"), tile_windows(spark), -9.0)
+    """Every scanline of the raster; windows leave it on the right and below."""
+    pixels = embedding_raster(spark, sf_dir)
+    tiles = raster.tile_rows(pixels, tile_windows(pixels), -9.0, size=16)
     return tiles.select("window_ord", "row", F.posexplode("cols").alias("col", "value"))
 
 
 def raster_reshape(spark, sf_dir):
-    out = raster.reshape_pixels(embedding_raster(spark, sf_dir), 2, 300, 80, -1.0)
+    """To one band and 16 columns more than there are, and a tenth of the rows more."""
+    pixels = embedding_raster(spark, sf_dir)
+    height = pixels.agg(F.max("row")).first()[0] + 1
+    out = raster.reshape_pixels(pixels, 2, height + height // 10, 80, -1.0)
     return out.select("band", "row", F.size("cols").alias("n"), F.aggregate("cols", F.lit(0).cast("bigint"), lambda a, v: a + F.when(v == -1.0, 1).otherwise(0)).alias("padded"), F.round(F.get("cols", F.lit(5)), 5).alias("sixth"))
 
 
 def tile_normalize(spark, sf_dir):
-    tiles = raster.normalise(raster.tile_rows(embedding_raster(spark, sf_dir), tile_windows(spark), 0.0))
+    pixels = embedding_raster(spark, sf_dir)
+    tiles = raster.normalise(raster.tile_rows(pixels, tile_windows(pixels), 0.0))
     return tiles.select("window_ord", "row", F.posexplode("cols").alias("col", "value"))
 
 
@@ -260,7 +282,7 @@ def coco_json(spark, sf_dir):
 NAMES = (
     "validate_labels", "categories_by_id", "categories_by_name", "categories_by_both", "categories_super", "categories_append_names", "categories_merged", "label_category_join",
     "label_bounds", "label_quantile", "label_filters", "window_schema", "parent_window", "window_offsets", "window_clip", "window_polygon", "window_label_join", "label_mask_rows",
-    "mask_area_bbox", "rle_counts", "tile_pad", "raster_reshape", "tile_normalize", "pixel_validity", "masks_valid", "images", "annotations", "annotation_masks", "sources_versions",
+    "mask_area_bbox", "rle_counts", "tile_pad", "raster_reshape", "tile_normalize", "pixel_validity", "masks_valid", "images", "annotations", "annotation_masks", "append_twice", "sources_versions",
     "version_bumps", "capture_dates", "used_dirs", "coco_json",
 )
 QUERIES = {name: globals()[name] for name in NAMES}

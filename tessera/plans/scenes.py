@@ -62,9 +62,12 @@ def embedding_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.lit("embeddings").alias("source_path"), F.lit(0).alias("band"), F.col("vec_id").cast("int").alias("row"), holes.alias("cols"))
 
 
-def tile_windows(spark: SparkSession) -> DataFrame:
-    """Windows of 24 columns by 40 rows over 64 columns by 200 rows; the last ones of a row leave the raster."""
-    return spark.range(20).select(
-        F.col("id").alias("window_ord"), (F.floor(F.col("id") / 5) * 20).cast("int").alias("col_off"), ((F.col("id") % 5) * 40).cast("int").alias("row_off"),
+def tile_windows(pixels: DataFrame) -> DataFrame:
+    """Windows of 24 columns by 40 rows, 20 columns and 40 rows apart, over the whole raster of 64 columns; the last of each
+    column of windows, and of each row, leave it."""
+    rows = pixels.agg(F.max("row").alias("last")).select(F.explode(F.sequence(F.lit(0), F.floor((F.col("last") + 20) / 40).cast("int"))).alias("ri"))
+    both = rows.select("ri", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ci"))
+    return both.select(
+        (F.col("ri") * 4 + F.col("ci")).cast("bigint").alias("window_ord"), (F.col("ci") * 20).alias("col_off"), (F.col("ri") * 40).alias("row_off"),
         F.lit(24).alias("width"), F.lit(40).alias("height"),
     )

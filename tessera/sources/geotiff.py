@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
 import zlib
+from contextlib import contextmanager
 from datetime import datetime
 
 import numpy as np
@@ -142,27 +145,38 @@ def undo_predictor(cells: np.ndarray, predictor: int, raw: bytes, dtype: np.dtyp
     return cells
 
 
+class Layout:
+    """Where the blocks (strips or tiles) of the first image lie, and how they are packed."""
+
+    def __init__(self, data):
+        tags, order = read_tags(data)
+        self.dtype, self.width, self.height, self.count = dtype_of(tags, order), tags[256][0], tags[257][0], tags.get(277, (1,))[0]
+        self.compression, self.predictor, separate = tags.get(259, (1,))[0], tags.get(317, (1,))[0], tags.get(284, (1,))[0] == 2
+        if 322 in tags:
+            self.cols, self.rows, self.offsets, self.sizes = tags[322][0], tags[323][0], tags[324], tags[325]
+        else:
+            self.cols, self.rows, self.offsets, self.sizes = self.width, min(self.height, tags.get(278, (self.height,))[0]), tags[273], tags[279]
+        self.across, self.down = -(-self.width // self.cols), -(-self.height // self.rows)
+        self.samples, self.planes = (1, self.count) if separate else (self.count, 1)
+
+    def line(self, data, r: int) -> np.ndarray:
+        """(bands, rows, cols) of the r-th line of blocks."""
+        out = np.zeros((self.count, self.rows, self.across * self.cols), self.dtype.newbyteorder("="))
+        for plane in range(self.planes):
+            for c in range(self.across):
+                i = (plane * self.down + r) * self.across + c
+                raw = expand(bytes(data[self.offsets[i] : self.offsets[i] + self.sizes[i]]), self.compression)
+                high = min(self.rows, len(raw) // (self.cols * self.samples * self.dtype.itemsize))
+                cells = np.frombuffer(raw, self.dtype, high * self.cols * self.samples).reshape(high, self.cols, self.samples)
+                cells = undo_predictor(cells, self.predictor, raw, self.dtype)
+                out[plane * self.samples : (plane + 1) * self.samples, :high, c * self.cols : (c + 1) * self.cols] = cells.transpose(2, 0, 1)
+        return out[:, : min(self.rows, self.height - r * self.rows), : self.width]
+
+
 def read_cube(data: bytes) -> np.ndarray:
     """(bands, rows, cols) of the first image."""
-    tags, order = read_tags(data)
-    dtype, width, height, count = dtype_of(tags, order), tags[256][0], tags[257][0], tags.get(277, (1,))[0]
-    compression, predictor, separate = tags.get(259, (1,))[0], tags.get(317, (1,))[0], tags.get(284, (1,))[0] == 2
-    if 322 in tags:
-        cols, rows, offsets, sizes = tags[322][0], tags[323][0], tags[324], tags[325]
-    else:
-        cols, rows, offsets, sizes = width, min(height, tags.get(278, (height,))[0]), tags[273], tags[279]
-    across, down = -(-width // cols), -(-height // rows)
-    samples = 1 if separate else count
-    out = np.zeros((count, down * rows, across * cols), dtype.newbyteorder("="))
-    for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
-        band, place = divmod(i, across * down) if separate else (0, i)
-        r, c = divmod(place, across)
-        raw = expand(data[at : at + n], compression)
-        high = min(rows, len(raw) // (cols * samples * dtype.itemsize))
-        cells = np.frombuffer(raw, dtype, high * cols * samples).reshape(high, cols, samples)
-        cells = undo_predictor(cells, predictor, raw, dtype)
-        out[band : band + samples, r * rows : r * rows + high, c * cols : (c + 1) * cols] = cells.transpose(2, 0, 1)
-    return out[:, :height, :width]
+    layout = Layout(data)
+    return np.concatenate([layout.line(data, r) for r in range(layout.down)], axis=1)
 
 
 def write_geotiff(path: str, cube: np.ndarray, transform: tuple, srid: int | None = None, nodata: float | None = None, when: str | None = None, compress: bool = True, tile: int = 0) -> None:
@@ -219,15 +233,37 @@ def write_geotiff(path: str, cube: np.ndarray, transform: tuple, srid: int | Non
         out.write(b"\0\0\0\0" + extra + b"".join(parts))
 
 
+def local_file(path: str) -> str | None:
+    """The path of a single file that this machine and the executors can open themselves, if it is one."""
+    plain = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
+    return plain if "://" not in plain and os.path.isfile(plain) else None
+
+
+@contextmanager
+def mapped(path: str):
+    """The file's bytes, of which only what is looked at is read."""
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+        yield data
+
+
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """raster_meta: one row per file; Spark opens the files."""
-    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "content")
+    """raster_meta: one row per file.  A local file's tags are read where they lie; in another store Spark opens the files."""
+    if own := local_file(path):
+        files = spark.createDataFrame([(path, datetime.fromtimestamp(os.path.getmtime(own)), None)], "path string, modificationTime timestamp, content binary")
+    else:
+        files = spark.read.format("binaryFile").load(path).select("path", "modificationTime", "content")
+
+    def facts(path: str, data: bytes | None) -> dict:
+        if data is not None:
+            return describe(data)
+        with mapped(local_file(path)) as found:
+            return describe(found)
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, when, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                d = describe(data)
+                d = facts(path, data)
                 rows.append({"source_path": path, **{k: d[k] for k in ("count", "width", "height", "dtype", "nodata", "srid")}, **dict(zip("abcdef", d["transform"], strict=True)), "tags": list(d["tags"].items()), "file_mtime": when})
             types = pa.schema([("source_path", pa.string()), *((k, pa.int32()) for k in ("count", "width", "height")), ("dtype", pa.string()), ("nodata", pa.float64()), ("srid", pa.int32()), *((k, pa.float64()) for k in "abcdef"), ("tags", pa.map_(pa.string(), pa.string())), ("file_mtime", pa.timestamp("us", "UTC"))])
             yield pa.RecordBatch.from_pylist(rows, schema=types)
@@ -235,22 +271,47 @@ def read_meta(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, META)
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """raster_pixels: source_path, band, row, cols; one row per scanline."""
+def scanlines(path: str, first: int, cube: np.ndarray):
+    """Record batches of (source_path, band, row, cols) of some rows, `first` and on."""
+    for band in range(cube.shape[0]):
+        part = cube[band].astype(np.float64)
+        n, w = part.shape
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(part.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([band] * n, pa.int32()), pa.array(np.arange(first, first + n, dtype=np.int32)), lists], names=["source_path", "band", "row", "cols"])
+
+
+PIXELS = "source_path string, band int, row int, cols array<double>"
+
+
+def read_pixels(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """raster_pixels: source_path, band, row, cols; one row per scanline.
+
+    A local (or mounted) file is scanned line of blocks by line of blocks, dealt over the cluster: a task reads and decodes
+    only its own strips or tiles.  Files in another store come whole, one to a row, which Spark limits to 2 GB.
+    """
+    if own := local_file(path):
+        with mapped(own) as data:
+            lines = Layout(data).down
+        blocks = spark.range(0, lines, 1, partitions or max(1, min(lines, 4 * spark.sparkContext.defaultParallelism)))
+
+        def scan(batches):
+            with mapped(own) as data:
+                layout = Layout(data)
+                for batch in batches:
+                    for r in batch.column(0).to_pylist():
+                        yield from scanlines(path, r * layout.rows, layout.line(data, r))
+
+        return blocks.mapInArrow(scan, PIXELS)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for batch in batches:
             for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cube = read_cube(data)
-                for band in range(cube.shape[0]):
-                    for r in range(0, cube.shape[1], 512):
-                        part = cube[band, r : r + 512].astype(np.float64)
-                        n, w = part.shape
-                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(part.ravel()))
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array([band] * n, pa.int32()), pa.array(np.arange(r, r + n, dtype=np.int32)), lists], names=["source_path", "band", "row", "cols"])
-
-    return files.mapInArrow(run, "source_path string, band int, row int, cols array<double>")
+                layout = Layout(data)
+                for r in range(layout.down):
+                    yield from scanlines(path, r * layout.rows, layout.line(data, r))
+
+    return files.mapInArrow(run, PIXELS)
 
 
 def open_raster(spark: SparkSession, path: str, with_pixels: bool = True):

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,21 +74,25 @@ def write(tiles: DataFrame, names: DataFrame) -> None:
     A file that exists is left alone; a new one appears under its name only when it is complete, so a retried task does no
     harm.  Folders have to be reachable by all executors.
     """
-    lines = tiles.groupBy("window_ord").agg(F.sort_array(F.collect_list(F.struct("row", "band", "cols"))).alias("lines")).join(names, "window_ord")
+    signed = F.transform("cols", lambda v: F.when(v > 127, v - 256).otherwise(v).cast("tinyint"))
+    lines = tiles.groupBy("window_ord").agg(F.sort_array(F.collect_list(F.struct("band", "row", signed.alias("cols")))).alias("lines")).join(names, "window_ord")
 
-    def put(rows):
-        for r in rows:
-            path = r["file_name"].removeprefix("file://")
-            if os.path.exists(path):
-                continue
-            bands, height = 1 + max(x["band"] for x in r["lines"]), 1 + max(x["row"] for x in r["lines"])
-            cube = np.zeros((height, len(r["lines"][0]["cols"]), bands), np.uint8)
-            for x in r["lines"]:
-                cube[x["row"], :, x["band"]] = x["cols"]
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            draft = f"{path}.{os.getpid()}.part"
-            with open(draft, "wb") as out:
-                out.write(jpeg(cube) if path.lower().endswith((".jpg", ".jpeg")) else png(cube))
-            os.replace(draft, path)
+    def put(batches):
+        for batch in batches:
+            for path, lines in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = path.removeprefix("file://")
+                if os.path.exists(path):
+                    continue
+                # The lines are in order of band and row, each of the window's width: one reshape gives the cube.
+                cells = lines.values.field("cols").flatten().to_numpy(zero_copy_only=False).view(np.uint8)
+                bands = 1 + lines.values.field("band")[-1].as_py()
+                height = len(lines.values) // bands
+                cube = np.ascontiguousarray(cells.reshape(bands, height, -1).transpose(1, 2, 0))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                draft = f"{path}.{os.getpid()}.part"
+                with open(draft, "wb") as out:
+                    out.write(jpeg(cube) if path.lower().endswith((".jpg", ".jpeg")) else png(cube))
+                os.replace(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    lines.foreachPartition(put)
+    lines.select("file_name", "lines").mapInArrow(put, "n long").agg(F.sum("n")).collect()

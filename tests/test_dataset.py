@@ -38,7 +38,7 @@ def test_append_twice(spark, scene, table, tmp_path):
     raster = geotiff.open_raster(spark, scene[0])
     assert raster.date_captured == datetime(2023, 1, 2, 3, 4, 5) and raster.srid == 3857
     out = str(tmp_path / "images")
-    first = append_dataset(create_dataset(spark, "d", "c", "0.0.1", WHEN), out, raster, [(256, 256)], table, "cid", "cname", label_srid=3857)
+    first = append_dataset(create_dataset(spark, "d", "c", "0.0.1", WHEN), out, raster, [(256, 256)], table, "cid", "cname", label_srid=3857, suffix="png")
     assert first.info["version"] == "1.0.0"
     rows = first.annotations.sort("id").collect()
     assert [r["id"] for r in rows] == [1, 2, 3, 4, 5] and [r["category_id"] for r in rows] == [1, 2, 2, 5, 5]
