@@ -45,7 +45,10 @@ def load_dataset(spark: SparkSession, path: str) -> Dataset:
 
 
 def save_dataset(dataset: Dataset, path: str) -> None:
+    """Write the dataset; from then on its tables are those of the file, so nothing is computed again from what it was built on
+    (which may be the very file that was replaced)."""
     coco_json.write(path, dataset.info, dataset.tables)
+    dataset.tables = coco_json.tables_of(coco_json.document(dataset.spark, path))
 
 
 def source_of(dataset: Dataset, source_path: str) -> tuple[int, bool]:

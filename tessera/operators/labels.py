@@ -67,11 +67,51 @@ def join_categories(labels: DataFrame, categories: DataFrame, id_attribute: str
     return out
 
 
-def average_bounds(labels: DataFrame, box: Column, quantile: float = 0.9) -> tuple[float | None, float | None]:
-    """The quantiles (linear interpolation, nulls and NaN left out) of label widths and heights."""
-    row = labels.select((box["maxx"] - box["minx"]).alias("w"), (box["maxy"] - box["miny"]).alias("h")).agg(
-        *(F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(quantile)).alias(c) for c in ("w", "h"))
-    ).first()
+#: Values that one task may hold to find an exact quantile.
+QUANTILE_ROWS = 100_000
+BINS = 4096
+
+
+def exact_quantile(values: DataFrame, quantile: float, most: int = QUANTILE_ROWS) -> float | None:
+    """The quantile (linear interpolation) of the column v, nulls and NaN left out.
+
+    Counts per bin of the range narrow it down to the bins that hold the two values in question, again and again until
+    at most `most` values are left, or one; only counts of BINS bins reach the driver on the way.
+    """
+    values = values.filter("v IS NOT NULL AND NOT isnan(v)")
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    place = quantile * (n - 1)
+    first, before, left = int(place), 0, n
+    last = min(first + 1, n - 1)
+    while left > most and low < high:
+        bins = F.least(F.lit(BINS - 1), F.floor((F.col("v") - low) / ((high - low) / BINS)).cast("int"))
+        rows = values.filter(F.col("v").between(low, high)).groupBy(bins.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+        ends, upto = [], before
+        for r in rows:
+            upto += r["n"]
+            ends.append(upto)
+        one, two = (next(i for i, e in enumerate(ends) if k < e) for k in (first, last))
+        if one != two:  # the last value of a bin and the first of the next
+            return (last - place) * rows[one]["hi"] + (place - first) * rows[two]["lo"]
+        before, left, low, high = ends[one] - rows[one]["n"], rows[one]["n"], rows[one]["lo"], rows[one]["hi"]
+    if low == high:
+        return low
+    rest = sorted(r[0] for r in values.filter(F.col("v").between(low, high)).collect())
+    a, b = rest[first - before], rest[last - before]
+    return a if first == last else (last - place) * a + (place - first) * b
+
+
+def average_bounds(labels: DataFrame, box: Column, quantile: float = 0.9, most: int = QUANTILE_ROWS) -> tuple[float | None, float | None]:
+    """The quantiles (linear interpolation, nulls and NaN left out) of label widths and heights.
+
+    Up to `most` labels one aggregate finds both; more are narrowed down by counts (see exact_quantile).
+    """
+    sizes = labels.select((box["maxx"] - box["minx"]).alias("w"), (box["maxy"] - box["miny"]).alias("h"))
+    if labels.limit(most + 1).count() > most:
+        return tuple(exact_quantile(sizes.select(F.col(c).alias("v")), quantile, most) for c in ("w", "h"))
+    row = sizes.agg(*(F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(quantile)).alias(c) for c in ("w", "h"))).first()
     return row["w"], row["h"]
 
 

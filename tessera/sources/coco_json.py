@@ -35,20 +35,29 @@ def iso(when: Column) -> Column:
     return F.when(text.endswith(".000000"), F.substring(text, 1, 19)).otherwise(text)
 
 
+def document(spark: SparkSession, path: str) -> DataFrame:
+    """The one row of a document."""
+    return spark.read.schema(document_schema() + ", _corrupt_record string").option("multiLine", True).json(path)
+
+
+def tables_of(whole: DataFrame) -> dict[str, DataFrame]:
+    tables = {}
+    for name in FIELDS:
+        rows = whole.select(F.explode(name).alias("r")).select("r.*")
+        if "date_captured" in rows.columns:
+            rows = rows.withColumn("date_captured", F.col("date_captured").cast("timestamp_ntz"))
+        tables[name] = rows
+    return tables
+
+
 def read(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
     """(info, tables); unknown keys are dropped, missing required parts are an error."""
-    whole = spark.read.schema(document_schema() + ", _corrupt_record string").option("multiLine", True).json(path)
-    first = whole.select("info", *(F.col(n).isNull().alias(n) for n in FIELDS), F.size("sources").alias("n")).first()
+    whole = document(spark, path)
+    first = whole.select("info").first()
     if first is None or first["info"] is None:
         raise ValueError(f"{path} is not a dataset: it has no info")
     info = first["info"].asDict() | {"version": first["info"]["version"] or "0.0.0"}
-    tables = {}
-    for name, schema in FIELDS.items():
-        rows = whole.select(F.explode(name).alias("r")).select("r.*")
-        for column in ("date_captured",):
-            if column in rows.columns:
-                rows = rows.withColumn(column, F.col(column).cast("timestamp_ntz"))
-        tables[name] = rows
+    tables = tables_of(whole)
     required = {"images": ["source_id", "date_captured"], "annotations": ["segmentation"]}
     for name, columns in required.items():
         missing = tables[name].filter(" OR ".join(f"{c} IS NULL" for c in columns)).limit(1).count()

@@ -1,9 +1,11 @@
-"""Vector label layers: GeoJSON, shapefiles and Parquet, as label tables with a file-order number."""
+"""Vector label layers: GeoJSON, shapefiles, GeoPackages and Parquet, as label tables with a file-order number."""
 
 from __future__ import annotations
 
 import re
+import sqlite3
 import struct
+from contextlib import closing
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -139,13 +141,97 @@ def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8") -> t
     return out, int(found[-1]) if found else None
 
 
+def wkb_rings(data: bytes, at: int, sizes: int, order: str) -> tuple[list, int]:
+    """The rings of a WKB polygon body at `at`, as points, and where it ends; a point has `sizes` numbers."""
+    n, at, rings = struct.unpack_from(f"{order}I", data, at)[0], at + 4, []
+    for _ in range(n):
+        k = struct.unpack_from(f"{order}I", data, at)[0]
+        flat = struct.unpack_from(f"{order}{k * sizes}d", data, at + 4)
+        rings.append([{"x": flat[i * sizes], "y": flat[i * sizes + 1]} for i in range(k)])
+        at += 4 + 8 * k * sizes
+    return rings, at
+
+
+def wkb_parts(data: bytes, at: int = 0) -> tuple[list, bool]:
+    """Parts of a WKB polygon or multipolygon, with or without further dimensions."""
+
+    def head(at: int) -> tuple[int, int, str, int]:
+        order = "<" if data[at] else ">"
+        kind = struct.unpack_from(f"{order}I", data, at + 1)[0]
+        flags, base = kind >> 29, (kind & 0x0FFFFFFF) % 1000
+        more = (kind & 0x0FFFFFFF) // 1000
+        sizes = 2 + (more in (1, 2)) + 2 * (more == 3) + bool(flags & 4) + bool(flags & 2)
+        return base, sizes, order, at + 5 + 4 * bool(flags & 1)
+
+    kind, sizes, order, at = head(at)
+    if kind == 3:
+        return [wkb_rings(data, at, sizes, order)[0]], False
+    if kind != 6:
+        raise ValueError(f"only polygons are labels, not geometry type {kind}")
+    n, at, parts = struct.unpack_from(f"{order}I", data, at)[0], at + 4, []
+    for _ in range(n):
+        _, sizes, inner, at = head(at)
+        rings, at = wkb_rings(data, at, sizes, inner)
+        parts.append(rings)
+    return parts, True
+
+
+def package_geometry(blob: bytes | None) -> tuple[list | None, bool | None]:
+    """A GeoPackage geometry: a header with an envelope of known size, then WKB."""
+    if blob is None or blob[:2] != b"GP" or blob[3] & 16:
+        return None, None
+    envelope = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[(blob[3] >> 1) & 7]
+    return wkb_parts(blob, 8 + envelope)
+
+
+def read_geopackage(spark: SparkSession, path: str, layer: str | None = None, rows: int = 50_000) -> tuple[DataFrame, int | None]:
+    """(labels, srid) of a feature layer (the first one by default) of a GeoPackage that all executors can open.
+
+    The layer is scanned by ranges of `rows` row ids, dealt over the cluster; label_ord is the row id.
+    """
+    own = path.removeprefix("file://")
+    with closing(sqlite3.connect(f"file:{own}?mode=ro", uri=True)) as db:
+        found = db.execute("SELECT table_name FROM gpkg_contents WHERE data_type = 'features' ORDER BY table_name").fetchall()
+        names = [r[0] for r in found]
+        if not names or layer not in (None, *names):
+            raise ValueError(f"{path} has no feature layer {layer or ''}")
+        layer = layer or names[0]
+        shape, srs = db.execute("SELECT column_name, srs_id FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
+        srid = db.execute("SELECT organization_coordsys_id FROM gpkg_spatial_ref_sys WHERE srs_id = ? AND lower(organization) = 'epsg'", (srs,)).fetchone()
+        columns = [(r[1], r[2].upper()) for r in db.execute(f'PRAGMA table_info("{layer}")') if r[1] != shape and not r[5]]
+        low, high = db.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{layer}"').fetchone()
+    kinds = {n: "boolean" if t.startswith("BOOL") else "bigint" if "INT" in t else "double" if t.startswith(("REAL", "DOUBLE", "FLOAT")) else "string" for n, t in columns}
+    arrow = {"boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    convert = {"boolean": bool, "bigint": int, "double": float, "string": str}
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    types = [pa.int64(), pa.list_(pa.list_(pa.list_(point))), pa.bool_(), *(arrow[k] for k in kinds.values())]
+    out = ["label_ord", "geometry", "is_multi", *kinds]
+    picks = ", ".join(f'"{c}"' for c in ("rowid", shape, *kinds)).replace('"rowid"', "rowid", 1)
+
+    def run(batches):
+        with closing(sqlite3.connect(f"file:{own}?mode=ro", uri=True)) as db:
+            for batch in batches:
+                for start in batch.column(0).to_pylist():
+                    table = []
+                    for fid, blob, *facts in db.execute(f'SELECT {picks} FROM "{layer}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid', (start, start + rows - 1)):
+                        table.append((fid, *package_geometry(blob), *(None if v is None else convert[k](v) for v, k in zip(facts, kinds.values(), strict=True))))
+                    for at in range(0, len(table), 1000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table[at : at + 1000], strict=True), types, strict=True)], names=out)
+
+    ranges = spark.range(low, high + 1, rows)
+    schema = f"label_ord bigint, geometry {GEOMETRY}, is_multi boolean" + "".join(f", `{n}` {k}" for n, k in kinds.items())
+    return ranges.mapInArrow(run, schema), srid[0] if srid else None
+
+
 def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, int | None]:
-    """A label layer by its suffix: .geojson/.json, .shp, or Parquet with label_ord, geometry, is_multi (and maybe srid)."""
+    """A label layer by its suffix: .geojson/.json, .shp, .gpkg, or Parquet with label_ord, geometry, is_multi (and maybe srid)."""
     low = path.lower().rstrip("/")
     if low.endswith((".geojson", ".json")):
         return read_geojson(spark, path)
     if low.endswith(".shp"):
         return read_shapefile(spark, path)
+    if low.endswith(".gpkg"):
+        return read_geopackage(spark, path)
     labels = spark.read.parquet(path)
     missing = {"label_ord", "geometry"} - set(labels.columns)
     if missing:

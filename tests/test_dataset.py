@@ -1,4 +1,7 @@
-"""Datasets end to end: append, versions, persistence, sources, command line, stream."""
+"""Datasets end to end: append, versions, persistence, sources, command line, stream.
+
+The scene, its labels and the version steps are fixed values: results have to match for them.
+"""
 
 import json
 import struct
@@ -70,6 +73,73 @@ def test_append_twice(spark, scene, table, tmp_path):
     assert document["info"]["date_created"] == "2024-05-06T07:08:09" and document["sources"][0]["date_captured"] == "2023-01-02T03:04:05"
 
 
+@pytest.mark.parametrize("dtype, nodata", [("uint16", 0.0), ("int16", -5.0), ("float32", -9999.0), ("uint8", 7.0)])
+def test_masks_leave_out_pixels_without_data(spark, table, tmp_path, dtype, nodata):
+    cube = (np.random.default_rng(2).random((2, 256, 256)) * 90 + 10).astype(dtype)
+    cube[:, 48:53, 40:52] = nodata  # a part of the third label
+    cube[0, 66:74, 66:74] = nodata  # one band only: these have data
+    path = str(tmp_path / "x.tif")
+    geotiff.write_geotiff(path, cube, (1.0, 0, 0.0, 0, -1.0, 0.0), 3857, nodata, tile=64)
+    done = append_dataset(create_dataset(spark, "d", "c"), str(tmp_path / "i"), geotiff.open_raster(spark, path), [(256, 256)], table, "cid", label_srid=3857, write_tiles=False)
+    rows = done.annotations.sort("id").collect()
+    assert [r["area"] for r in rows] == [4, 16, 36 - 25, 60, 4]
+    for r in rows:
+        mask = rle.to_mask(rle.from_string(r["segmentation"]["counts"]), *r["segmentation"]["size"])
+        assert not mask[47:52, 39:51].any()
+
+
+def test_block_scan_reads_lines_of_blocks(spark, tmp_path):
+    cube = (np.random.default_rng(3).random((2, 150, 90)) * 200).astype("uint16")
+    path = str(tmp_path / "b.tif")
+    geotiff.write_geotiff(path, cube, (1.0, 0, 0.0, 0, -1.0, 0.0), None, tile=32)
+    pixels = geotiff.read_pixels(spark, path)
+    assert pixels.rdd.getNumPartitions() > 1
+    got = np.zeros_like(cube)
+    for r in pixels.collect():
+        got[r["band"], r["row"]] = r["cols"]
+    assert (got == cube).all()
+
+
+def test_saving_over_the_loaded_file(spark, scene, table, tmp_path):
+    path = str(tmp_path / "d.json")
+    save_dataset(create_dataset(spark, "d", "c"), path)
+    raster = geotiff.open_raster(spark, scene[0], with_pixels=False)
+    for k in (1, 2):
+        dataset = append_dataset(load_dataset(spark, path), "/x", raster, [(256, 256)], table, "cid", label_srid=3857)
+        save_dataset(dataset, path)
+        assert dataset.count("annotations") == load_dataset(spark, path).count("annotations") == 5 * k
+
+
+def test_geopackage(spark, tmp_path):
+    import sqlite3
+
+    def wkb(*rings):
+        return struct.pack("<I", len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in rings)
+
+    shell, hole = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 2)]
+    single = struct.pack("<BI", 1, 3) + wkb(shell, hole)
+    multi = struct.pack("<BII", 1, 6, 2) + 2 * (struct.pack("<BI", 1, 3) + wkb(shell))
+    db = sqlite3.connect(tmp_path / "l.gpkg")
+    db.executescript("""CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT); CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, srs_id INT);
+      CREATE TABLE gpkg_spatial_ref_sys (srs_id INT, organization TEXT, organization_coordsys_id INT); CREATE TABLE parcels (fid INTEGER PRIMARY KEY, geom BLOB, cid MEDIUMINT, cname TEXT, share REAL, ok BOOLEAN);
+      INSERT INTO gpkg_contents VALUES ('parcels', 'features'); INSERT INTO gpkg_geometry_columns VALUES ('parcels', 'geom', 9); INSERT INTO gpkg_spatial_ref_sys VALUES (9, 'EPSG', 3857);""")
+    for body, facts in ((single, (1, "One", 0.5, 1)), (multi, (2, None, None, 0))):
+        blob = b"GP\0" + bytes([3]) + struct.pack("<i4d", 9, 0, 9, 0, 9) + body
+        db.execute("INSERT INTO parcels (geom, cid, cname, share, ok) VALUES (?, ?, ?, ?, ?)", (blob, *facts))
+    db.commit()
+    db.close()
+    labels, srid = vector.read_labels(spark, str(tmp_path / "l.gpkg"))
+    rows = labels.sort("label_ord").collect()
+    assert srid == 3857 and [(r["cid"], r["cname"], r["share"], r["ok"], r["is_multi"]) for r in rows] == [(1, "One", 0.5, True, False), (2, None, None, False, True)]
+    assert [len(p) for p in rows[0]["geometry"]] == [2] and [len(p) for p in rows[1]["geometry"]] == [1, 1] and rows[0]["geometry"][0][1][1]["x"] == 4.0
+
+
+def test_public_names():
+    import tessera
+
+    assert all(callable(getattr(tessera, n)) for n in tessera.__all__)
+
+
 def test_many_windows_cover_every_label(spark, table):
     from tessera.plans.append import Raster
 

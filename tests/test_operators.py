@@ -1,4 +1,7 @@
-"""Labels, categories, windows, masks and rasters."""
+"""Labels, categories, windows, masks and rasters.
+
+Circles, category names and ids, quantiles and window sizes in these tests are fixed values: results have to match for them.
+"""
 
 import numpy as np
 import pytest
@@ -218,6 +221,70 @@ def test_capture_dates(spark):
     assert [str(r["d"]) for r in df.collect()] == ["2022-03-12 13:45:00"] * 2 + ["2023-09-21 00:50:10.131719"] + ["2001-01-01 00:00:00"] * 2
 
 
+def test_dates_in_free_form(spark):
+    cases = {"Fri, 12 Mar 2022 13:45:00": "2022-03-12 13:45:00", "March 12, 2022": "2022-03-12 00:00:00", "12-Mar-2022": "2022-03-12 00:00:00", "2022/03/12 13:45:00": "2022-03-12 13:45:00", "20220312T134500": "2022-03-12 13:45:00", "3/12/2022 1:05": "2022-03-12 01:05:00", "12th March 2022": "2022-03-12 00:00:00", "12.3.2022": "2022-03-12 00:00:00"}
+    df = spark.createDataFrame([(k,) for k in cases], "tag string").select("tag", raster.capture_date(F.col("tag"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).alias("d"))
+    assert {r["tag"]: str(r["d"]) for r in df.collect()} == cases
+
+
+def test_within_counts_the_border(spark):
+    from tessera.functions.geometry import box_geometry, within_polygon
+
+    def ring(*xy):
+        return [[[{"x": float(x), "y": float(y)} for x, y in (*xy, xy[0])]]]
+
+    shapes = {"low corner": ring((500, -2500), (600, -2500), (600, -2400), (500, -2400)), "high corner": ring((2400, -600), (2500, -600), (2500, -500), (2400, -500)), "whole": ring((500, -2500), (2500, -2500), (2500, -500), (500, -500)), "out": ring((2400, -600), (2501, -600), (2501, -500), (2400, -500)), "around": ring((0, -3000), (3000, -3000), (3000, 0), (0, 0))}
+    table = frame(spark, list(shapes.values()), name=list(shapes))
+    got = {r["name"]: r["w"] for r in table.select("name", within_polygon(F.col("geometry"), box_geometry(500, -2500, 2500, -500)).alias("w")).collect()}
+    assert got == {"low corner": True, "high corner": True, "whole": True, "out": False, "around": False}
+    # A notch: an edge between two border points may leave the polygon in between.
+    notch = F.from_json(F.lit('[[[{"x":0,"y":0},{"x":10,"y":0},{"x":10,"y":10},{"x":6,"y":10},{"x":5,"y":4},{"x":4,"y":10},{"x":0,"y":10},{"x":0,"y":0}]]]'), GEOMETRY)
+    shapes = {"bridge": ring((0, 8), (10, 8), (10, 10), (0, 10)), "chord": ring((4, 10), (6, 10), (6, 2), (4, 2)), "below": ring((0, 0), (10, 0), (10, 4), (0, 4)), "side": ring((0, 0), (4, 0), (4, 10), (0, 10))}
+    table = frame(spark, list(shapes.values()), name=list(shapes))
+    got = {r["name"]: r["w"] for r in table.select("name", within_polygon(F.col("geometry"), notch).alias("w")).collect()}
+    assert got == {"bridge": False, "chord": False, "below": True, "side": True}
+
+
+def test_rings_of_many_vertices():
+    from tessera.functions.geometry import valid_parts
+
+    n = 50_000
+    xy = [(1000 * np.cos(2 * np.pi * k / n) + 5 * np.cos(40 * np.pi * k / n), 1000 * np.sin(2 * np.pi * k / n)) for k in range(n)]
+    good = [[[{"x": x, "y": y} for x, y in (*xy, xy[0])]]]
+    assert valid_parts(good)
+    xy[n // 2], xy[n // 2 + 7] = xy[n // 2 + 7], xy[n // 2]
+    assert not valid_parts([[[{"x": x, "y": y} for x, y in (*xy, xy[0])]]])
+
+
+def test_quantiles_of_many_labels(spark):
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(50, 9, 5000), rng.integers(0, 3, 5000).astype(float), np.concatenate([np.full(4000, 7.0), rng.random(1000) * 1e6]), np.array([4.0, float("nan"), 1.0])):
+        table = spark.createDataFrame([(float(v),) for v in values], "v double").unionByName(spark.createDataFrame([(None,)], "v double"))
+        kept = values[~np.isnan(values)]
+        for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+            assert labels.exact_quantile(table, q, most=50) == pytest.approx(np.quantile(kept, q))
+
+
+def test_tiles_from_blocks(spark):
+    rng = np.random.default_rng(7)
+    cube = rng.random((2, 30, 37))
+    pixels = spark.createDataFrame([(b, r, cube[b, r].tolist()) for b in range(2) for r in range(30)], "band int, row int, cols array<double>")
+    boxes = [(0, 0, 0, 12, 10), (1, 30, 25, 12, 10), (2, -3, -4, 12, 10), (3, 8, 3, 1, 2), (4, 40, 5, 6, 3)]
+    rows = raster.tile_rows(pixels, spark.createDataFrame(boxes, "window_ord bigint, col_off int, row_off int, width int, height int"), -1.0, size=8).collect()
+    assert len(rows) == sum(2 * b[4] for b in boxes)
+    padded = np.pad(cube, ((0, 0), (20, 20), (20, 20)), constant_values=-1.0)
+    for r in rows:
+        _, c, t, w, _ = boxes[r["window_ord"]]
+        assert r["cols"] == padded[r["band"], 20 + t + r["row"], 20 + c : 20 + c + w].tolist()
+
+
+def test_runs_without_data(spark):
+    cube = np.array([[[0, 0, 5, 0], [0, 1, 1, 1], [2, 2, 2, 2]], [[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]]], float)
+    pixels = spark.createDataFrame([(b, r, cube[b, r].tolist()) for b in range(2) for r in range(3)], "band int, row int, cols array<double>")
+    got = {r["row"]: [tuple(x) for x in r["runs"]] for r in raster.invalid_runs(pixels, 0.0).collect()}
+    assert got == {0: [(0, 1), (3, 3)], 1: [(0, 0)]}
+
+
 def test_spatial_join_has_no_nested_loop(spark, sf_dir):
     from tessera.plans.queries import touching
 
