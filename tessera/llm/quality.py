@@ -2,12 +2,11 @@
 
 Two public vocabularies segment every whole text: one of pieces with byte fallback (by the table of distinct chunks of
 `pieces`), and one of byte pairs, chunk by chunk.  Four figures follow: characters per token of either vocabulary, the share of
-byte-fallback tokens and the entropy of the text's pieces.  A text is rejected where a figure lies beyond its group's band.
-Groups are declared languages, or scripts where none is declared.  Bands come from counts over all documents that have a
-token (entropy: FULL tokens or more): the quartiles of the figure, widened on both sides by `reach` interquartile ranges
-(at least LEAST of the figure's unit).  Texts of fewer than FULL tokens are judged too: their band is wider by the square
-root of what they lack, and for entropy, which cannot exceed the logarithm of the number of tokens, its lower edge goes
-down with that logarithm.
+byte-fallback tokens, and evenness: the entropy of the text's pieces over the most that a text of as many tokens, SPAN at
+most, can have, which hardly depends on length.  A text is rejected where a figure lies beyond its group's band.  Groups are
+declared languages, or scripts where none is declared.  Bands come from counts over all documents that have the figure: its
+quartiles, widened on both sides by `reach` interquartile ranges (at least LEAST of the figure's unit), and for texts of
+fewer than FULL tokens by the square root of what they lack.
 
 Base rules: fewer than `min_words` words, or more than `max_repeat` percent of words in windows that repeat.
 
@@ -37,13 +36,13 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: Units in which the figures are counted for the bands.
-UNITS = {"chars_per_token": 0.02, "chars_per_pair": 0.02, "byte_share": 0.002, "entropy": 0.02}
-LEAST = {"chars_per_token": 0.5, "chars_per_pair": 0.5, "byte_share": 0.06, "entropy": 1.5}
-#: Tokens from which a text is judged by the plain band.
-FULL = 80
+UNITS = {"chars_per_token": 0.02, "chars_per_pair": 0.02, "byte_share": 0.002, "evenness": 0.005}
+LEAST = {"chars_per_token": 0.75, "chars_per_pair": 0.75, "byte_share": 0.06, "evenness": 0.15}
+#: Tokens from which a text is judged by the plain band, and up to which entropy grows with the length.
+FULL, SPAN = 80, 256
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, "
-    "n_tokens long, chars_per_token double, chars_per_pair double, byte_share double, entropy double"
+    "n_tokens long, chars_per_token double, chars_per_pair double, byte_share double, entropy double, evenness double"
 )
 
 
@@ -128,7 +127,7 @@ def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None
         processor = encoder.model
         is_byte = np.array([processor.is_byte(i) for i in range(processor.get_piece_size())])
         names = [part.split()[0] for part in SCHEMA.split(", ")]
-        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), *[pa.float64()] * 4]
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), *[pa.float64()] * 5]
         for whole in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(whole.column(1)), 0).to_pylist()
             for start, end in runs_of(lengths, PART_BYTES):
@@ -138,11 +137,13 @@ def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None
                     ids, n_pairs = encoder.measure(text)
                     words = text.encode("utf-8", "surrogatepass").split()
                     chars = len(text) - sum(map(text.count, BLANKS))
-                    figures = [0, None, None, None, None]
+                    figures = [0, None, None, None, None, None]
                     if ids:
                         found = np.array(ids)
                         share = np.unique(found, return_counts=True)[1] / len(found)
-                        figures = [len(found), len(text) / len(found), len(text) / n_pairs, float(is_byte[found].mean()), float(-(share * np.log2(share)).sum())]
+                        entropy = float(-(share * np.log2(share)).sum())
+                        even = entropy / math.log2(min(len(found), SPAN)) if len(found) > 1 else None
+                        figures = [len(found), len(text) / len(found), len(text) / n_pairs, float(is_byte[found].mean()), entropy, even]
                     rows.append((doc_id, lang, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, hashes), script_of(text) if not lang else None, *figures))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -153,8 +154,8 @@ def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None
 def bands(measured: DataFrame, reach: float) -> DataFrame:
     """grp, and lo_, hi_ and margin_ of each figure: from histograms over all documents, so only (group, figure, unit) counts move."""
     rows = measured.filter("n_tokens > 0")
-    pairs = F.explode(F.array(*(F.when(F.col("n_tokens") >= (FULL if k == "entropy" else 1), F.struct(F.lit(k).alias("figure"), F.floor(F.col(k) / u).cast("long").alias("at"))) for k, u in UNITS.items())))
-    counts = rows.select("grp", pairs.alias("p")).filter("p IS NOT NULL").groupBy("grp", "p.figure", "p.at").count()
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("figure"), F.floor(F.col(k) / u).cast("long").alias("at")) for k, u in UNITS.items())))
+    counts = rows.select("grp", pairs.alias("p")).filter("p.at IS NOT NULL").groupBy("grp", "p.figure", "p.at").count()
     quartiles = counts.groupBy("grp", "figure").agg(F.percentile("at", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
     unit = F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv))[F.col("figure")]
     least = F.create_map(*(F.lit(x) for kv in LEAST.items() for x in kv))[F.col("figure")]
@@ -166,11 +167,9 @@ def bands(measured: DataFrame, reach: float) -> DataFrame:
 
 def beyond(figure: str) -> Column:
     """Whether a text's figure lies beyond its group's band; false where either is missing."""
-    n = F.greatest(F.col("n_tokens"), F.lit(2))
-    lack = F.least(F.lit(1.0), n / F.lit(float(FULL)))
+    lack = F.least(F.lit(1.0), F.greatest(F.col("n_tokens"), F.lit(1)) / F.lit(float(FULL)))
     margin = F.col(f"margin_{figure}") / F.sqrt(lack)
-    lo = F.col(f"lo_{figure}") * (F.least(F.lit(1.0), F.log2(n) / F.lit(math.log2(FULL))) if figure == "entropy" else F.lit(1.0))
-    return F.coalesce((F.col(figure) < lo - margin) | (F.col(figure) > F.col(f"hi_{figure}") + margin), F.lit(False))
+    return F.coalesce((F.col(figure) < F.col(f"lo_{figure}") - margin) | (F.col(figure) > F.col(f"hi_{figure}") + margin), F.lit(False))
 
 
 def judge(docs: DataFrame, model: str | None = None, reach: float = 4.0, min_words: int = 20, max_repeat: int = 30) -> DataFrame:

@@ -52,7 +52,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read_table(spark, sf_dir, "documents"))
-    figures = [F.round(c, 6).alias(c) for c in quality.UNITS]
+    figures = [F.round(c, 6).alias(c) for c in (*quality.UNITS, "entropy")]
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *figures)
 
 

@@ -152,6 +152,7 @@ def test_base_counts_bands_and_verdicts(spark, docs):
         1000: "".join(rng.choice("qxzjvkwp") + rng.choice("0123456789") for _ in range(900)), 1001: " ".join("".join(rng.choice(glyphs) for _ in range(6)) for _ in range(80)),
         1002: " ".join("".join(rng.choice(glyphs) for _ in range(2)) for _ in range(30)),
     }
+    odd[1003] = " ".join(w for w in ("onst", "ther", "wand", "ilks") for _ in range(25))
     odd[1000] = " ".join(odd[1000][i : i + 9] for i in range(0, 1800, 9))
     rows += [(k, t, "en") for k, t in odd.items()]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
@@ -162,9 +163,11 @@ def test_base_counts_bands_and_verdicts(spark, docs):
     figure = {}
     for k, t, _ in rows:
         ids = encoder.model.encode(t)
-        figure[k] = (len(ids), len(t) / len(ids), sum(map(encoder.model.is_byte, ids)) / len(ids))
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+        figure[k] = (len(ids), len(t) / len(ids), sum(map(encoder.model.is_byte, ids)) / len(ids), entropy / math.log2(min(len(ids), 256)))
+        assert got[k]["evenness"] == pytest.approx(figure[k][3])
         assert got[k]["n_tokens"] == len(ids) and got[k]["chars_per_token"] == pytest.approx(figure[k][1]) and got[k]["byte_share"] == pytest.approx(figure[k][2])
-    for at, name in ((1, "chars_per_token"), (2, "byte_share")):
+    for at, name in ((1, "chars_per_token"), (2, "byte_share"), (3, "evenness")):
         unit = quality.UNITS[name]
         lo, hi = np.percentile([math.floor(f[at] / unit) for f in figure.values()], [25, 75]) * unit
         margin = max((hi - lo) * 4, quality.LEAST[name])
