@@ -111,16 +111,22 @@ def within_polygon(geometry: Column, polygon: Column) -> Column:
 
 
 def valid_parts(parts) -> bool:
+    """valid_polygon of nested lists of points."""
+    if parts is None or any(part is None for part in parts):
+        return False
+    return valid_polygon([[np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) if ring is not None else np.empty((0, 2)) for ring in part] for part in parts])
+
+
+def valid_polygon(parts: list[list[np.ndarray]]) -> bool:
     """Whether rings are closed and simple, holes lie in their shells, and no two rings cross or overlap."""
-    if parts is None or len(parts) == 0:
+    if not parts:
         return False
     shells = []
     for part in parts:
-        if part is None or len(part) == 0:
+        if not part:
             return False
         rings = []
-        for ring in part:
-            xy = np.array([(p["x"], p["y"]) for p in ring], float) if ring is not None else np.empty((0, 2))
+        for xy in part:
             if len(xy) < 4 or not np.isfinite(xy).all() or (xy[0] != xy[-1]).any():
                 return False
             xy = xy[np.concatenate([[True], (np.diff(xy, axis=0) != 0).any(axis=1)])]
@@ -151,6 +157,10 @@ PAIRS = 1 << 20
 
 def near_pairs(one: np.ndarray, two: np.ndarray):
     """(i, j) of edges of `one` and `two` whose extents meet, some PAIRS at a time: a sweep along x, then a test of y."""
+    n1, n2 = len(one) - 1, len(two) - 1
+    if n1 * n2 <= 4096:  # so few that the sweep would cost more than it saves
+        yield np.divmod(np.arange(n1 * n2), n2)
+        return
     lo1, hi1 = np.minimum(one[:-1], one[1:]), np.maximum(one[:-1], one[1:])
     lo2, hi2 = np.minimum(two[:-1], two[1:]), np.maximum(two[:-1], two[1:])
     order = np.argsort(lo2[:, 0], kind="stable")
@@ -218,7 +228,19 @@ def is_valid(geometry: Column) -> Column:
     """Whether a polygon is valid, by Arrow batches; false for null."""
 
     def check(values: pa.Array) -> pa.Array:
-        return pa.array([valid_parts(v) for v in values.to_pylist()], pa.bool_())
+        parts, rings, points = values.values, values.values.values, values.values.values.values
+        xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], axis=1)
+        of_value, of_part, of_ring = (x.offsets.to_numpy() for x in (values, parts, rings))
+        known, part_known, ring_known = (x.is_valid().to_numpy(zero_copy_only=False) for x in (values, parts, rings))
+
+        def ring(k: int) -> np.ndarray:
+            return xy[of_ring[k] : of_ring[k + 1]] if ring_known[k] else xy[:0]
+
+        def one(i: int) -> bool:
+            own = range(of_value[i], of_value[i + 1])
+            return bool(known[i]) and all(part_known[p] for p in own) and valid_polygon([[ring(k) for k in range(of_part[p], of_part[p + 1])] for p in own])
+
+        return pa.array([one(i) for i in range(len(values))], pa.bool_())
 
     return arrow_scalar(check, "boolean")(geometry)
 

@@ -159,6 +159,8 @@ ORACLES = {
       SELECT band, "row", CAST(count(*) AS INT) AS n, count(*) FILTER (v = -1) AS padded, round(max(v) FILTER (c = 5), 5) AS sixth FROM f GROUP BY band, "row" """,
     "pixel_validity": f"""WITH {TILES}, isl AS (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) AS g FROM cells WHERE v = 0)
       SELECT r AS "row", min(c) AS c0, max(c) AS c1 FROM isl GROUP BY r, g""",
+    "pixel_validity_int16": f"""WITH {TILES}, isl AS (SELECT r, c, c - row_number() OVER (PARTITION BY r ORDER BY c) AS g FROM cells WHERE floor(v * 100) = -7)
+      SELECT r AS "row", min(c) AS c0, max(c) AS c1 FROM isl GROUP BY r, g""",
     "masks_valid": f"""WITH {GEO}, {PIXELS}, {TILES} SELECT k AS label_ord, CAST(px.r AS INT) AS "row", count(*) AS n FROM px LEFT JOIN cells ON cells.r = px.r AND cells.c = px.c WHERE v IS NULL OR v <> 0 GROUP BY k, px.r""",
     "sources_versions": """WITH RECURSIVE l AS (SELECT o_custkey AS dataset, o_orderkey AS ord, strftime(o_orderdate, '%Y-%m') AS source, o_orderpriority AS dir,
         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),

@@ -207,6 +207,13 @@ def pixel_validity(spark, sf_dir):
     return runs.select("row", F.explode("runs").alias("r")).select("row", "r.c0", "r.c1")
 
 
+def pixel_validity_int16(spark, sf_dir):
+    """The same for samples of more than 8 bits: the raster in hundredths, with a nodata value of its own."""
+    pixels = embedding_raster(spark, sf_dir).withColumn("cols", F.transform("cols", lambda v: F.floor(v * 100).cast("double")))
+    runs = raster.invalid_runs(pixels, raster.nodata_value(-7.0))
+    return runs.select("row", F.explode("runs").alias("r")).select("row", "r.c0", "r.c1")
+
+
 def masks_valid(spark, sf_dir):
     """Label pixels per row that have data, on the scene moved over the embedding raster's first 64 columns."""
     labels = with_edges(label_scene(spark, sf_dir), SCENE.transform)
@@ -282,7 +289,7 @@ def coco_json(spark, sf_dir):
 NAMES = (
     "validate_labels", "categories_by_id", "categories_by_name", "categories_by_both", "categories_super", "categories_append_names", "categories_merged", "label_category_join",
     "label_bounds", "label_quantile", "label_filters", "window_schema", "parent_window", "window_offsets", "window_clip", "window_polygon", "window_label_join", "label_mask_rows",
-    "mask_area_bbox", "rle_counts", "tile_pad", "raster_reshape", "tile_normalize", "pixel_validity", "masks_valid", "images", "annotations", "annotation_masks", "append_twice", "sources_versions",
+    "mask_area_bbox", "rle_counts", "tile_pad", "raster_reshape", "tile_normalize", "pixel_validity", "pixel_validity_int16", "masks_valid", "images", "annotations", "annotation_masks", "append_twice", "sources_versions",
     "version_bumps", "capture_dates", "used_dirs", "coco_json",
 )
 QUERIES = {name: globals()[name] for name in NAMES}
