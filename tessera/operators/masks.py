@@ -22,15 +22,20 @@ PIECES = 2_000_000
 ROWS = "array<struct<row:int,runs:array<struct<c0:int,c1:int>>>>"
 
 
-def rasterise(starts: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(label, row, c0, c1) of the disjoint, non-touching runs of labels 0, 1, ...; label i has the edges from starts[i] on."""
+def rasterise(starts: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, height: int | None = None) -> tuple[np.ndarray, ...]:
+    """(label, row, c0, c1) of the disjoint, non-touching runs of labels 0, 1, ...; label i has the edges from starts[i] on.
+    With a `height`, rows outside 0 .. height - 1 are left out, however far a label reaches.
+    """
     label = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     flat = y1 == y2
     keep = ~(flat & (y1 == np.floor(y1)))
     label, flat, x1, y1, x2, y2 = (v[keep] for v in (label, flat, x1, y1, x2, y2))
     low, high = np.minimum(y1, y2), np.maximum(y1, y2)
     first = np.floor(low).astype(np.int64)
-    n = np.where(flat, 1, np.ceil(high).astype(np.int64) - first)
+    end = np.where(flat, first + 1, np.ceil(high).astype(np.int64))
+    if height is not None:
+        first, end = np.maximum(first, 0), np.minimum(end, height)
+    n = np.maximum(end - first, 0)
     at = np.repeat(np.arange(len(n)), n)
     row = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
     label, flat, low, high = label[at], flat[at], low[at], high[at]
@@ -84,27 +89,28 @@ def nested_rows(n_labels: int, label: np.ndarray, row: np.ndarray, c0: np.ndarra
     counts[first] = runs
     rows = np.repeat(line_row - first, span) + np.arange(len(counts))
     of_label = np.bincount(np.repeat(line_label, span), minlength=n_labels)
-    pair = pa.StructArray.from_arrays([pa.array(c0, pa.int32()), pa.array(c1, pa.int32())], names=["c0", "c1"])
+    pair = pa.StructArray.from_arrays([*(pa.array(np.clip(c, -(1 << 30), 1 << 30), pa.int32()) for c in (c0, c1))], names=["c0", "c1"])
     inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pair)
     lines = pa.StructArray.from_arrays([pa.array(rows, pa.int32()), inner], names=["row", "runs"])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of_label)]), pa.int32()), lines)
 
 
-def label_rows(edges: Column) -> Column:
-    """ROWS of a label from its edges in pixels."""
+def label_rows(edges: Column, height: int | None = None) -> Column:
+    """ROWS of a label from its edges in pixels; only those of the raster where its height is given."""
 
     def encode(values: pa.Array) -> pa.Array:
         ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(values), 0).to_numpy(zero_copy_only=False))
         flat = values.flatten()
         x1, y1, x2, y2 = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-        tall = np.concatenate([[0], np.cumsum(np.abs(np.ceil(y2) - np.floor(y1)) + 1)])
+        low, high = (np.clip(y, 0, height) if height is not None else y for y in (y1, y2))
+        tall = np.concatenate([[0], np.cumsum(np.abs(np.ceil(high) - np.floor(low)) + 1)])
         starts, parts, begin = np.concatenate([[0], ends]).astype(np.int64), [], 0
         while begin < len(values):
             # As many labels as stay within PIECES, one at least.
             end = max(begin + 1, int(np.searchsorted(tall[starts], tall[starts[begin]] + PIECES, side="right")) - 1)
             end = min(end, len(values))
             cut = slice(starts[begin], starts[end])
-            parts.append(nested_rows(end - begin, *rasterise(starts[begin : end + 1] - starts[begin], x1[cut], y1[cut], x2[cut], y2[cut])))
+            parts.append(nested_rows(end - begin, *rasterise(starts[begin : end + 1] - starts[begin], x1[cut], y1[cut], x2[cut], y2[cut], height)))
             begin = end
         return pa.concat_arrays(parts) if parts else pa.array([], values.type)
 

@@ -59,7 +59,7 @@ def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: Dat
     schema = grid.schema
     slim = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
     shaped = with_edges(slim, raster.transform)
-    shaped = shaped.withColumn("rows", masks.label_rows(F.col("edges"))).drop("geometry")
+    shaped = shaped.withColumn("rows", masks.label_rows(F.col("edges"), raster.height)).drop("geometry")
     if invalid is not None:
         shaped = masks.without_invalid(shaped, invalid)
     carried = ("category_id", "iscrowd")

@@ -194,6 +194,16 @@ def test_masks_equal_brute_force(spark):
         assert (got[i] == brute_mask(parts, 12, 12)).all(), i
 
 
+def test_labels_far_beyond_the_raster(spark):
+    """Rows outside the raster are never made, and those inside are as without the limit."""
+    huge = [[[{"x": float(x), "y": float(y)} for x, y in ((-1e9, -1e9), (1e9, -1e9), (3.5, 1e9), (-1e9, -1e9))]]]
+    table = with_edges(frame(spark, [huge, circle(10, 10, 6)]), (1.0, 0, 0, 0, 1.0, 0))
+    rows = {r["label_ord"]: r["r"] for r in table.select("label_ord", masks.label_rows(F.col("edges"), 12).alias("r")).collect()}
+    assert [x["row"] for x in rows[0]] == list(range(12)) and all(x["runs"][0]["c0"] < 0 and x["runs"][0]["c1"] > 1e8 for x in rows[0])
+    whole = {r["row"]: r["runs"] for r in masks.row_intervals(table.filter("label_ord = 1")).collect()}
+    assert {x["row"]: x["runs"] for x in rows[1]} == {k: v for k, v in whole.items() if k < 12}
+
+
 def test_invalid_pixels_are_cut(spark):
     rows = spark.createDataFrame([(1, 0, [(0, 9)]), (1, 1, [(2, 3), (5, 8)])], "label_ord bigint, row int, runs array<struct<c0:int,c1:int>>")
     holes = spark.createDataFrame([(0, [(2, 3), (9, 12)]), (1, [(0, 3), (6, 6)])], "row int, runs array<struct<c0:int,c1:int>>")
