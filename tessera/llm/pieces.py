@@ -30,7 +30,7 @@ from .common import frugal, text_runs
 MARK = "▁"
 #: Text encoded at a time in a task.
 PART_BYTES = 1_000_000
-BLANKS = f" {MARK}"
+BLANKS = (" ", MARK)
 CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -46,38 +46,53 @@ class ChunkEncoder:
     A subclass may say more of a chunk by overriding `entry`.
     """
 
-    def __init__(self, model: str, table_units: int = 2_000_000):
+    def __init__(self, model: str, table_units: int = 4_000_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.limit, self.table, self.units = table_units, {}, 0
+        self.ints = list(range(self.model.get_piece_size()))  # one object for each id, however often it occurs
+        self.lone = (self.model.piece_to_id(MARK),)
         if any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in range(self.model.get_piece_size())):
             raise ValueError("a piece crosses a whitespace marker; texts cannot be cut into chunks")
         for probe in ("  a  b ", "ａ\n\t", "é", " x", "ﬁ"):
             if self.encode([probe])[0] != self.model.encode(probe):
                 raise ValueError("the model normalises texts; chunks would not equal whole texts")
 
-    def chunks(self, segment: str) -> list[str]:
-        return CHUNKS.findall(segment.replace(" ", MARK))
+    @staticmethod
+    def chunks(segment: str) -> list[str]:
+        """The chunks of a marked segment, each without its first marker (so that a plain word is its own name)."""
+        if segment[:1] == MARK and segment[1:2] not in BLANKS and "  " not in segment and MARK not in segment[1:]:
+            return segment[1:].split(" ")
+        return [c[1:] for c in CHUNKS.findall(segment.replace(" ", MARK))]
 
     def learn(self, found: list[str]) -> None:
         """Segment what the table lacks.  The library puts one marker before a text itself; a lone marker is one piece."""
         if self.units > self.limit:
-            self.table, self.units = {}, 0
+            self.forget()
         table = self.table
-        new = [c for c in dict.fromkeys(found) if c not in table]
+        new = sorted([c for c in set(found) if c not in table])
         if new:
-            for chunk, ids in zip(new, self.model.encode([c[1:] for c in new], num_threads=1), strict=True):
-                table[chunk] = self.entry(chunk, tuple(ids) or (self.model.piece_to_id(MARK),))
+            for chunk, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
+                table[chunk] = self.entry(chunk, tuple(map(self.ints.__getitem__, ids)) or self.lone)
                 self.units += 12 + (len(ids) + len(chunk) // 4) // 2
 
+    def forget(self) -> None:
+        self.table, self.units = {}, 0
+
     def entry(self, chunk: str, ids: tuple[int, ...]):
         return ids
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [self.encode_text(t) for t in texts]
+        """Ids of each text.  Several texts learn together; together they should be no longer than a part."""
+        if len(texts) == 1:
+            return [self.encode_text(texts[0])]
+        found = [list(chain.from_iterable(map(self.chunks, segments(t)))) for t in texts]
+        self.learn(list(chain.from_iterable(found)))
+        return [list(chain.from_iterable(map(self.table.__getitem__, x))) for x in found]
 
     def encode_text(self, text: str | None) -> list[int]:
+        """Ids of a text of any length, which learns segment by segment."""
         ids: list[int] = []
         for segment in segments(text):
             found = self.chunks(segment)
@@ -98,7 +113,7 @@ def segments(text: str | None, most: int = PART_BYTES):
         start = end
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_units: int = 2_000_000) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None, table_units: int = 4_000_000) -> DataFrame:
     """`df` with a column `ids` array<int>: the ids of each whole text."""
     model = model or default_model()
     df = df.drop(ids)
@@ -136,7 +151,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str |
     return df.mapInArrow(frugal(run), schema)
 
 
-def digests(df: DataFrame, text: str = "text", model: str | None = None, table_units: int = 2_000_000) -> DataFrame:
+def digests(df: DataFrame, text: str = "text", model: str | None = None, table_units: int = 4_000_000) -> DataFrame:
     """`df` without its text and with n_tokens, ids_sha256 (ids in decimal, joined by commas) and decoded_sha256.
 
     Encoding, decoding and hashing share one pass, so that ids and decoded texts never leave their task.

@@ -52,11 +52,12 @@ def repeated_words(words: list[bytes], hashes: WordHashes, width: int = WINDOW)
     if n <= width:
         return 0
     windows = window_hashes(np.fromiter(map(hashes.__getitem__, words), np.uint64, n), width)
+    ordered = np.sort(windows)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     order = np.argsort(windows, kind="stable")
     ordered = windows[order]
     same = ordered[1:] == ordered[:-1]
-    if not same.any():
-        return 0
     again = np.zeros(len(windows), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
@@ -89,7 +90,10 @@ def default_pairs() -> str:
 
 
 class TwoVocabularies(ChunkEncoder):
-    """Pieces of a text, and how many byte-pair tokens its chunks have together."""
+    """A text's pieces, and how many byte-pair tokens its chunks have together.
+
+    The table gives a chunk's row; arrays hold the rows' pieces, end to end, and their numbers of byte pairs.
+    """
 
     def __init__(self, model: str, pairs: str):
         import public_tokenizers
@@ -98,24 +102,49 @@ class TwoVocabularies(ChunkEncoder):
         with open(pairs, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pairs = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.counts: dict[str, int] = {}
+        self.forget()
         super().__init__(model)
 
-    def entry(self, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
-        self.counts[chunk] = len(self.pairs.encode_ordinary(chunk.replace(MARK, " ")))
-        return ids
-
-    def measure(self, text: str) -> tuple[list[int], int]:
-        """Piece ids, and the number of byte-pair tokens."""
-        ids, n = [], 0
-        for segment in segments(text):
-            found = self.chunks(segment)
-            if self.units > self.limit:
-                self.counts = {}
-            self.learn(found)
-            ids.extend(chain.from_iterable(map(self.table.__getitem__, found)))
-            n += sum(map(self.counts.__getitem__, found))
-        return ids, n
+    def forget(self) -> None:
+        super().forget()
+        self.fresh: list[tuple[tuple[int, ...], int]] = []
+        self.flat, self.starts, self.sizes, self.n_pairs = (np.empty(0, np.int64) for _ in range(4))
+
+    def entry(self, chunk: str, ids: tuple[int, ...]) -> int:
+        self.fresh.append((ids, len(self.pairs.encode_ordinary(" " + chunk.replace(MARK, " ")))))
+        return len(self.starts) + len(self.fresh) - 1
+
+    def learn(self, found: list[str]) -> None:
+        super().learn(found)
+        if self.fresh:
+            sizes = np.array([len(ids) for ids, _ in self.fresh], np.int64)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.n_pairs = np.concatenate([self.sizes, sizes]), np.concatenate([self.n_pairs, np.array([n for _, n in self.fresh], np.int64)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids for ids, _ in self.fresh), np.int64, int(sizes.sum()))])
+            self.fresh = []
+
+    def encode_text(self, text: str | None) -> list[int]:
+        return self.both([text])[0][0].tolist()
+
+    def both(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
+        """Of each text its pieces, and the number of its byte-pair tokens.  Several texts learn together, as in `encode`."""
+        if len(texts) == 1:
+            parts = []
+            for found in map(self.chunks, segments(texts[0])):
+                self.learn(found)
+                parts.append(self.looked_up(found))
+            return [(np.concatenate([np.empty(0, np.int64), *(p[0] for p in parts)]), sum(p[1] for p in parts))]
+        found = [list(chain.from_iterable(map(self.chunks, segments(t)))) for t in texts]
+        self.learn(list(chain.from_iterable(found)))
+        return [self.looked_up(x) for x in found]
+
+    def looked_up(self, found: list[str]) -> tuple[np.ndarray, int]:
+        if not found:
+            return np.empty(0, np.int64), 0
+        rows = np.fromiter(map(self.table.__getitem__, found), np.int64, len(found))
+        sizes = self.sizes[rows]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[rows] - ends + sizes, sizes) + np.arange(ends[-1])], int(self.n_pairs[rows].sum())
 
 
 def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None) -> DataFrame:
@@ -133,17 +162,17 @@ def measures(docs: DataFrame, model: str | None = None, pairs: str | None = None
             for start, end in runs_of(lengths, PART_BYTES):
                 rows = []
                 part = [t or "" for t in whole.column(1)[start:end].to_pylist()]
-                for doc_id, lang, text in zip(whole.column(0)[start:end].to_pylist(), whole.column(2)[start:end].to_pylist(), part, strict=True):
-                    ids, n_pairs = encoder.measure(text)
+                for doc_id, lang, text, (ids, n_pairs) in zip(whole.column(0)[start:end].to_pylist(), whole.column(2)[start:end].to_pylist(), part, encoder.both(part), strict=True):
+                    found, times = np.unique(ids, return_counts=True)
                     words = text.encode("utf-8", "surrogatepass").split()
                     chars = len(text) - sum(map(text.count, BLANKS))
                     figures = [0, None, None, None, None, None]
-                    if ids:
-                        found = np.array(ids)
-                        share = np.unique(found, return_counts=True)[1] / len(found)
+                    if len(found):
+                        n = int(times.sum())
+                        share = times / n
                         entropy = float(-(share * np.log2(share)).sum())
-                        even = entropy / math.log2(min(len(found), SPAN)) if len(found) > 1 else None
-                        figures = [len(found), len(text) / len(found), len(text) / n_pairs, float(is_byte[found].mean()), entropy, even]
+                        even = entropy / math.log2(min(n, SPAN)) if n > 1 else None
+                        figures = [n, len(text) / n, len(text) / n_pairs, float(times[is_byte[found]].sum() / n), entropy, even]
                     rows.append((doc_id, lang, len(words), chars, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, hashes), script_of(text) if not lang else None, *figures))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
