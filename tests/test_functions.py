@@ -1,4 +1,7 @@
-"""Geometry, run lengths and versions on their own."""
+"""Geometry, run lengths and versions on their own.
+
+Polygons, quantiles and version steps are fixed values: results have to match for them.
+"""
 
 import numpy as np
 import pytest
