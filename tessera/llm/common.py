@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Folders of sessions without a shared one.
+OWN_DIRS: set[str] = set()
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -25,13 +29,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    Only a session that runs in this one process may leave it unset; it then gets a temporary folder of its own.
+    Only a session that runs in this one process may leave it unset; it then gets a temporary folder of its own, which goes
+    with the process.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"tessera-{spark.sparkContext.applicationId}")
+        if found not in OWN_DIRS:
+            OWN_DIRS.add(found)
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
