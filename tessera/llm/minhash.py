@@ -12,7 +12,7 @@
    exactly: two of different components meet where they share a shingle of their rarest ones.  These prefixes are as long
    as the threshold asks for, so no link between such members is lost, and they leave out what a group has in common.
    Groups of a rare shingle of more than `block` members are compared block by block, so that no task holds more than
-   two blocks.  This is done twice: first only the likeliest pair of any two components of a block goes on, which joins
+   two blocks; blocks of one component never meet.  This is done twice: first only the likeliest pair of any two components of a block goes on, which joins
    the parts of a large group by a few pairs; then all pairs of members that are still apart.  What sizes, places, sketches and bitmaps let through is confirmed on the full sets, and the components
    closed again.  A bitmap has a bit for each shingle's hash; a bit that only one of two sets has stands for a shingle that
    they do not share, so a bitmap never rules out a link.
@@ -222,18 +222,36 @@ def rare_rows(sets: DataFrame, threshold: int) -> DataFrame:
     return sets.select("rid", "comp", "shingles").mapInArrow(frugal(run), "key long, rid long, comp long, place long, n long, short boolean")
 
 
+def dealt_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """The rows of keys that hold several components, dealt into blocks: `own`, the row's block, and `other`, one it meets.
+
+    A component of more than `block` members of a key is cut into blocks of its own, which never meet one another; all
+    smaller ones share blocks.  So a group that is one large component and a few others moves once, however large it is.
+    """
+    of_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.bool_or("short").alias("short"))
+    large = F.col("n") > block
+    keys = of_comp.groupBy("key").agg(
+        F.count("*").alias("comps"), F.bool_or("short").alias("short"), F.ceil(F.sum(F.when(large, 0).otherwise(F.col("n"))) / block).alias("shared"),
+        F.sort_array(F.collect_list(F.when(large, F.struct("comp", F.ceil(F.col("n") / block).alias("blocks"))))).alias("large"),
+    )
+    # The smaller set of a pair has the shingle in its short prefix.
+    keys = keys.filter("comps > 1 AND short")
+    upto = lambda i: F.aggregate(F.slice("large", F.lit(1), i), F.col("shared"), lambda acc, x: acc + x["blocks"])
+    keys = keys.select("key", "shared", F.transform("large", lambda x, i: F.struct(x["comp"].alias("comp"), upto(i).alias("first"), x["blocks"].alias("blocks"))).alias("large"), upto(F.size("large")).alias("all"))
+    own = F.get(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(0))
+    dealt = rows.join(keys, "key").withColumn("mine", own)
+    place = F.when(F.col("mine").isNull(), F.pmod(F.xxhash64("comp"), F.col("shared"))).otherwise(F.col("mine.first") + F.pmod(F.xxhash64("rid"), F.col("mine.blocks")))
+    meets = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: F.col("mine").isNull() | (j < F.col("mine.first")) | (j >= F.col("mine.first") + F.col("mine.blocks")))
+    return dealt.select("key", "rid", "comp", "place", "n", place.alias("own"), F.explode(meets).alias("other"))
+
+
 def hidden_pairs(rows: DataFrame, facts: DataFrame, threshold: int, block: int, best: bool) -> DataFrame:
     """Distinct candidates (a, b) of different components among `rows` (see rare_rows).  `facts`: rid, sketch, bitmap.
     `best`: of the candidates of two components in a block, only the likeliest.
 
-    A key's members are dealt into blocks of about `block`; each pair of blocks is a group of its own.
+    A key's members are dealt into blocks of about `block`; each pair of blocks that meet is a group of its own.
     """
-    # The smaller set of a pair has the shingle in its short prefix.
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.bool_or("short").alias("short"), F.count("*").alias("members"))
-    mixed = mixed.filter("least <> most AND short").select("key", F.ceil(F.col("members") / block).alias("blocks"))
-    dealt = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.join(facts.select("rid", "sketch", "bitmap"), "rid")
+    dealt = dealt_blocks(rows, block).join(facts.select("rid", "sketch", "bitmap"), "rid")
     met = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     met = met.agg(F.collect_list(F.struct("rid", "comp", "place", "n", "own", "sketch", "bitmap")).alias("members")).filter(F.size("members") > 1)
 

@@ -349,6 +349,22 @@ def test_blocks_of_dissimilar_crowds_equal_brute_force(spark):
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
+def test_large_components_are_cut_and_never_meet_themselves(spark):
+    rows = [("k", i, 7 if i < 50 else 8 if i < 75 else 100 + i % 9, 0, 10, True) for i in range(100)] + [("one", i, 7, 0, 10, True) for i in range(60)]
+    frame = spark.createDataFrame(rows, "key string, rid bigint, comp bigint, place bigint, n bigint, short boolean")
+    dealt = minhash.dealt_blocks(frame, 10).collect()
+    blocks, groups = {}, {}
+    for r in dealt:
+        assert r["key"] == "k"
+        blocks.setdefault(r["own"], set()).add((r["rid"], r["comp"]))
+        groups.setdefault((min(r["own"], r["other"]), max(r["own"], r["other"])), set()).add(r["rid"])
+    assert sum(map(len, blocks.values())) == 100
+    comps = {rid: comp for _, rid, comp, *_ in rows[:100]}
+    apart = {(a, b) for a in range(100) for b in range(a) if comps[a] != comps[b]}
+    met = {(a, b) for g in groups.values() for a in g for b in g if a > b}
+    assert apart <= met and not any(comps[min(g)] == comps[x] for (i, j), g in groups.items() if i != j for x in g if len({comps[y] for y in g}) == 1)
+
+
 def test_rows_of_a_repeated_id_follow_their_own_text(spark):
     one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     docs = spark.createDataFrame([(1, one), (1, two), (2, two + " more"), (3, one), (4, "else")], "doc_id bigint, text string")
