@@ -161,7 +161,7 @@ def template_share(words: list[str], family: str) -> float:
 
 
 def paragraphs_of(text: str):
-    """(start, lines) of every paragraph; lines: (offset in the text, line)."""
+    """The lines of every paragraph, as (offset in the text, line)."""
     at, lines = 0, []
     for line in text.split("\n"):
         if TEXT_LINE.search(line):
@@ -336,45 +336,45 @@ def scan(docs: DataFrame, model: Model, confirm: float = 0.6) -> DataFrame:
     def run(batches):
         table = WordKeys()
         for batch in batches:
-            rows, waiting, n_words = [], [], 0
+            blocks, waiting, n_words, predicted, out = [], [], 0, {}, []
+
+            def score():
+                """The predictions of all waiting pieces, filed under row and paragraph."""
+                nonlocal n_words
+                if waiting:
+                    keys = np.fromiter((table[w] for _, _, _, words in waiting for w in words), np.uint64, n_words)
+                    begins = np.concatenate([[0], np.cumsum([len(x[3]) for x in waiting])])
+                    spans = [(i, a, b) for i, (_, _, _, words) in enumerate(waiting) for a, b in windows_of(len(words))]
+                    of, starts, ends = np.array(spans).T
+                    for at, k, p in zip(*model.judge(keys, begins[of] + starts, begins[of] + ends), strict=True):
+                        row, paragraph, offset, _ = waiting[of[at]]
+                        predicted.setdefault((row, paragraph), []).append((int(starts[at]) + offset, int(ends[at]) + offset, int(k), float(p)))
+                waiting.clear()
+                n_words = 0
 
             def settle():
-                """Score all waiting pieces at once and file what is confirmed under its row."""
-                if not waiting:
-                    return
-                keys = np.fromiter((table[w] for _, _, _, words in waiting for w in words), np.uint64, n_words)
-                starts, ends, of, base = [], [], [], 0
-                for i, (_, _, _, words) in enumerate(waiting):
-                    for a, b in windows_of(len(words)):
-                        starts.append(base + a)
-                        ends.append(base + b)
-                        of.append(i)
-                    base += len(words)
-                begins = np.concatenate([[0], np.cumsum([len(x[3]) for x in waiting])])
-                by_paragraph: dict = {}
-                for at, k, p in zip(*model.judge(keys, np.array(starts), np.array(ends)), strict=True):
-                    row, paragraph, offset, _ = waiting[of[at]]
-                    shift = offset - begins[of[at]]
-                    by_paragraph.setdefault((row, paragraph), []).append((int(starts[at] + shift), int(ends[at] + shift), int(k), float(p)))
-                for (row, paragraph), windows in by_paragraph.items():
-                    lines = rows[row][2][paragraph]
-                    rows[row][1].extend({"paragraph": paragraph} | hit for hit in hits_of(lines, windows, confirm))
-                waiting.clear()
+                """What is confirmed in all rows that are read."""
+                score()
+                hits = [[] for _ in blocks]
+                for (row, paragraph), windows in sorted(predicted.items()):
+                    hits[row].extend({"paragraph": paragraph} | hit for hit in hits_of(blocks[row][paragraph], windows, confirm))
+                out.extend((len(b), h) for b, h in zip(blocks, hits, strict=True))
+                predicted.clear()
+                blocks.clear()
 
-            out, ids = [], batch.column(0).to_pylist()
             for i, text in enumerate(batch.column(1)):
-                blocks = list(paragraphs_of(text.as_py() or ""))
-                rows.append((i, [], blocks))
-                for paragraph, lines in enumerate(blocks):
+                blocks.append(list(paragraphs_of(text.as_py() or "")))
+                size = 0
+                for paragraph, lines in enumerate(blocks[-1]):
                     for offset, words in pieces_of(paragraph_words(lines)):
                         if words:
-                            waiting.append((i - len(out), paragraph, offset, words))
-                            n_words += len(words)
-                if n_words >= PIECE or i + 1 == batch.num_rows:
+                            waiting.append((len(blocks) - 1, paragraph, offset, words))
+                            n_words, size = n_words + len(words), size + len(words)
+                            if n_words >= PIECE:
+                                score()
+                if size >= PIECE or len(blocks) >= 200 or i + 1 == batch.num_rows:
                     settle()
-                    out.extend((len(blocks), hits) for _, hits, blocks in rows)
-                    rows, n_words = [], 0
-            columns = [ids, [n for n, _ in out], [sorted({h["family"] for h in hits}) for _, hits in out], [hits for _, hits in out]]
+            columns = [batch.column(0).to_pylist(), [n for n, _ in out], [sorted({h["family"] for h in hits}) for _, hits in out], [hits for _, hits in out]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(HIT)], strict=True)], names=["doc_id", "n_paragraphs", "families", "hits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), OUT)

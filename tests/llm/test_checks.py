@@ -126,6 +126,14 @@ def test_wrapped_headers_and_spellings(spark, docs):
     hit = rows[1]["hits"][0]
     assert cases[1][0][hit["start"] : hit["start"] + hit["length"]].startswith("Permission is hereby") and rows[6]["n_paragraphs"] == 5
     assert 0 < model.bar < 1
+    # A paragraph of several pieces, with statements at its beginning, across the edge of two pieces, and at its end.
+    filler = "plain words of no licence at all ".split()
+    words = (filler * 20_000)[: 2 * licences.PIECE]
+    for at in (0, licences.PIECE - 3, len(words) - 6):
+        words[at : at + 5] = "Released under the MIT License".split()
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, MIT)], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in licences.scan(frame, model).collect()}
+    assert [h["family"] for h in rows[1]["hits"]] == ["mit"] * 3 and rows[2]["families"] == ["mit"]
 
 
 def test_plain_text_is_unknown_to_the_classifier(docs, texts):
