@@ -152,9 +152,12 @@ def identify(
     langs, none = model.languages, F.lit(None).cast("string")
     if not langs:
         return docs.select(*(f"`{c}`" for c in names), F.lit(UNKNOWN).alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(UNKNOWN).alias("lang_text"), F.lit(False).alias("lang_kept"))
-    # The input's row travels as one struct, so none of its names can clash with a working column.
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("x_row"), F.col(f"`{text}`").cast("string").alias("x_text"), F.lower(declared if declared is not None else none).alias("x_declared"), F.lower(host if host is not None else none).alias("x_host"))
-    scored = text_gains(base, model, "x_text").drop("x_text")
+    # The input's row travels as one struct beside its text, so none of its names can clash with a working column.
+    whole = docs.schema[text].dataType.simpleString() != "string"  # then its text is not the column itself
+    rest = [c for c in names if c != text or whole]
+    row = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))
+    base = docs.select(row.alias("x_row"), F.col(f"`{text}`").cast("string").alias("x_text"), F.lower(declared if declared is not None else none).alias("x_declared"), F.lower(host if host is not None else none).alias("x_host"))
+    scored = text_gains(base, model, "x_text")
     best = F.array_max("x_gains")
     guess = F.when((F.col("x_grams") > 0) & (best > 0), F.element_at(F.array(*map(F.lit, langs)), F.array_position("x_gains", best).cast("int")))
     scored = scored.withColumn("x_guess", guess)
@@ -186,7 +189,8 @@ def identify(
     winner = F.element_at(F.array(*map(F.lit, langs), F.coalesce("x_declared", F.lit(UNKNOWN))), F.array_position("x_logs", F.col("x_top")).cast("int"))
     fits = F.coalesce((F.col("x_grams") > 0) & (F.col("x_top") >= F.col("x_none")), F.lit(False))
     posterior = F.when(fits, F.round(F.exp(F.col("x_top") - F.col("x_most")) / total, 9)).otherwise(0.0)
-    return logs.select("x_row.*", F.when(fits, winner).otherwise(UNKNOWN).alias("lang_id"), posterior.alias("lang_posterior"), F.coalesce("x_guess", F.lit(UNKNOWN)).alias("lang_text"), fits.alias("lang_kept"))
+    kept = [F.col("x_row").getField(c).alias(c) if c in rest else F.col("x_text").alias(c) for c in names]
+    return logs.select(*kept, F.when(fits, winner).otherwise(UNKNOWN).alias("lang_id"), posterior.alias("lang_posterior"), F.coalesce("x_guess", F.lit(UNKNOWN)).alias("lang_text"), fits.alias("lang_kept"))
 
 
 def host_priors(counts: DataFrame, langs: list[str], everywhere: list[float], host_weight: float, domain_weight: float) -> DataFrame:
