@@ -224,25 +224,89 @@ def inside_ring(shell: np.ndarray, ring: np.ndarray) -> bool:
     return True
 
 
+#: Points of a ring up to which all pairs of its edges are compared, for many rings at a time.
+SHORT_RING = 12
+
+
+def short_rings_valid(xy: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per ring (points starts .. starts + sizes - 1 of `xy`): 1 if it is closed and simple, 0 if not, -1 if it is not judged
+    here: rings of many points or points in a row that are equal, and values that are not finite.
+    """
+    out = np.full(len(starts), -1, np.int8)
+    out[sizes < 4] = 0
+    for m in range(4, SHORT_RING + 1):
+        i, j = (v.ravel() for v in np.divmod(np.arange((m - 1) ** 2), m - 1))
+        i, j = i[i != j], j[i != j]
+        rings = np.flatnonzero(sizes == m)
+        step = max(1, PAIRS // len(i))
+        for at in (rings[k : k + step] for k in range(0, len(rings), step)):
+            p = xy[starts[at][:, None] + np.arange(m)]
+            judged = np.isfinite(p).all(axis=(1, 2)) & (np.diff(p, axis=1) != 0).any(axis=2).all(axis=1)
+            at, p = at[judged], p[judged]
+            good = (p[:, 0] == p[:, -1]).all(axis=1) & ~(p[:, i] == p[:, j]).all(axis=2).any(axis=1)
+            a, b, c, d = (p[:, k].reshape(-1, 2) for k in (i, i + 1, j, j + 1))
+            for found in meeting(a, b, c, d) if len(a) else ():
+                good &= ~found.reshape(len(at), -1).any(axis=1)
+            out[at] = good
+    return out
+
+
+def validity(values: pa.Array) -> pa.Array:
+    """Whether polygons are valid; false for null.
+
+    Single rings, and two single rings whose extents do not touch, are judged for the whole batch at once where they are
+    short; all others one by one.
+    """
+    parts, rings, points = values.values, values.values.values, values.values.values.values
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], axis=1)
+    of_value, of_part, of_ring = (x.offsets.to_numpy() for x in (values, parts, rings))
+    known, part_known, ring_known = (x.is_valid().to_numpy(zero_copy_only=False) for x in (values, parts, rings))
+
+    def ring(k: int) -> np.ndarray:
+        return xy[of_ring[k] : of_ring[k + 1]] if ring_known[k] else xy[:0]
+
+    def one(i: int) -> bool:
+        own = range(of_value[i], of_value[i + 1])
+        return bool(known[i]) and all(part_known[p] for p in own) and valid_polygon([[ring(k) for k in range(of_part[p], of_part[p + 1])] for p in own])
+
+    good = short_rings_valid(xy, of_ring[:-1].astype(np.int64), np.diff(of_ring).astype(np.int64)) if len(rings) else np.empty(0, np.int8)
+    plain = part_known & (np.diff(of_part) == 1)
+    out = np.full(len(values), -1, np.int8)
+    out[~known] = 0
+    n_parts = np.diff(of_value)
+    for n in (1, 2):
+        at = np.flatnonzero(known & (n_parts == n))
+        at = at[np.all([plain[of_value[at] + k] for k in range(n)], axis=0)]
+        own = [of_part[of_value[at] + k] for k in range(n)]
+        sure = np.all([ring_known[r] & (good[r] >= 0) for r in own], axis=0)
+        at, own = at[sure], [r[sure] for r in own]
+        every = np.all([good[r] == 1 for r in own], axis=0)
+        if n == 2:
+            # Both are simple: where their extents are apart, they are; else they are looked at one by one.
+            lo, hi = zip(*(extents(xy, of_ring[r], of_ring[r + 1]) for r in own), strict=True)
+            near = ~((lo[0] > hi[1]) | (lo[1] > hi[0])).any(axis=1) & every
+            at, every = at[~near], every[~near]
+        out[at] = every
+    for i in np.flatnonzero(out < 0):
+        out[i] = one(i)
+    return pa.array(out == 1, pa.bool_())
+
+
 def is_valid(geometry: Column) -> Column:
     """Whether a polygon is valid, by Arrow batches; false for null."""
 
     def check(values: pa.Array) -> pa.Array:
-        parts, rings, points = values.values, values.values.values, values.values.values.values
-        xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")], axis=1)
-        of_value, of_part, of_ring = (x.offsets.to_numpy() for x in (values, parts, rings))
-        known, part_known, ring_known = (x.is_valid().to_numpy(zero_copy_only=False) for x in (values, parts, rings))
-
-        def ring(k: int) -> np.ndarray:
-            return xy[of_ring[k] : of_ring[k + 1]] if ring_known[k] else xy[:0]
+        return validity(values)
 
-        def one(i: int) -> bool:
-            own = range(of_value[i], of_value[i + 1])
-            return bool(known[i]) and all(part_known[p] for p in own) and valid_polygon([[ring(k) for k in range(of_part[p], of_part[p + 1])] for p in own])
+    return arrow_scalar(check, "boolean")(geometry)
 
-        return pa.array([one(i) for i in range(len(values))], pa.bool_())
 
-    return arrow_scalar(check, "boolean")(geometry)
+def extents(xy: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest and highest corner of the points starts .. ends - 1, one at least, of each of some rings."""
+    n = ends - starts
+    first = np.cumsum(n) - n
+    p = xy[np.repeat(starts - first, n) + np.arange(n.sum())]
+    return (np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)) if len(n) else (p, p)
 
 
 def with_edges(labels: DataFrame, transform: tuple[float, ...]) -> DataFrame:

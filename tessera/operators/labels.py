@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,20 @@ class LabelError(ValueError):
     """A label table breaks the contract."""
 
 
+#: Labels that one task works on; rings, outlines and masks cost far more than reading the rows that they come from.
+TASK_LABELS = 10_000
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_LABELS) -> DataFrame:
+    """`rows` over as many tasks as their number asks for, however few pieces their files have.
+
+    Meant for slim rows, before geometry is made of them: a Parquet file of one row group is one task otherwise.  The filter
+    keeps every row; being random, it is one that filters on geometry are not moved below, to before the rows are dealt.
+    """
+    n = math.ceil(rows.count() / most)
+    return rows.repartition(n, key).filter(F.rand() >= 0) if n > 1 else rows
+
+
 def require_keys(labels: DataFrame, id_attribute: str | None, name_attribute: str | None) -> None:
     if not {id_attribute, name_attribute} & set(labels.columns):
         raise AttributeError("labels need a category id column or a category name column")
@@ -47,6 +63,10 @@ def validate(labels: DataFrame, id_attribute: str | None = None, name_attribute:
     return labels.withColumn(id_attribute, F.col(id_attribute).cast("bigint")) if id_attribute in labels.columns else labels
 
 
+#: Categories that are sent to every task; more meet the labels by a shuffle.
+BROADCAST_CATEGORIES = 20_000
+
+
 def join_categories(labels: DataFrame, categories: DataFrame, id_attribute: str | None = None, name_attribute: str | None = None) -> DataFrame:
     """`labels` with id, name and supercategory of their category (columns of these names are overwritten).
 
@@ -58,6 +78,8 @@ def join_categories(labels: DataFrame, categories: DataFrame, id_attribute: str
     keep = labels.withColumn("x_key", F.col(key))
     keep = keep.drop("id", "name", "supercategory")
     unique = categories.groupBy(F.col(of).alias("c_key")).agg(F.count("*").alias("c_n"), F.min(F.struct("id", "name", "supercategory")).alias("c"))
+    if unique.limit(BROADCAST_CATEGORIES + 1).count() <= BROADCAST_CATEGORIES:
+        unique = F.broadcast(unique)  # else labels with their geometry would move to the few tasks that their keys name
     joined = keep.join(unique, F.col("x_key") == F.col("c_key"), "left")
     good = F.coalesce(F.col("c_n"), F.lit(0)) == 1
     checked = F.when(good, F.col("c")).otherwise(F.raise_error(F.concat(F.lit("label matches "), F.coalesce("c_n", F.lit(0)).cast("string"), F.lit(" categories: "), F.coalesce(F.col("x_key").cast("string"), F.lit("null")))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds
 from ..operators import windows
-from ..operators.labels import average_bounds, total_bounds
+from ..operators.labels import average_bounds, dealt, total_bounds
 from ..schemas import GEOMETRY
 from .append import Raster
 
@@ -43,7 +43,7 @@ def label_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     outline = F.when(k % 3 == 0, ring(x, y, w, h, OUTLINES[0])).when(k % 3 == 1, ring(x, y, w, h, OUTLINES[1])).otherwise(ring(x, y, w, h, OUTLINES[2]))
     second = ring(x + w + 2, y, number(2), number(2), OUTLINES[0])
     geometry = F.when(k % 7 == 0, F.array(F.array(outline), F.array(second))).otherwise(F.array(F.array(outline)))
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(
         k.alias("label_ord"), geometry.cast(GEOMETRY).alias("geometry"), (k % 7 == 0).alias("is_multi"),
         F.col("p_size").cast("bigint").alias("size_id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"),
     )

@@ -4,12 +4,13 @@ Polygons, quantiles and version steps are fixed values: results have to match fo
 """
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tessera.functions import rle, versions
-from tessera.functions.geometry import bounds, box_geometry, is_valid, valid_parts, within_box
+from tessera.functions.geometry import bounds, box_geometry, is_valid, short_rings_valid, valid_parts, validity, within_box
 
 
 def ring(*xy):
@@ -91,3 +92,29 @@ def test_bumps():
     assert versions.next_version("0.0.0", True, False) == "0.1.0"
     assert versions.next_version("0.1.0", False, False) == "0.1.1"
     assert versions.next_version("0.1.1", False, True) == "1.0.0"
+
+
+def test_batches_of_rings_are_judged_as_single_ones():
+    """Short rings, pairs of parts, and all that is judged one by one, at once and each for itself."""
+    rng = np.random.default_rng(5)
+
+    def ring(size):
+        points = [{"x": float(x), "y": float(y)} for x, y in rng.integers(0, size, (rng.integers(0, 14), 2))]
+        return points + points[:1] if rng.random() < 0.9 else points
+
+    def box(at):
+        return [{"x": at + x, "y": at + y} for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0))]
+
+    def part():
+        return None if rng.random() < 0.02 else [box(float(rng.integers(0, 6)))] if rng.random() < 0.5 else [ring(rng.choice([3, 20])) for _ in range(rng.integers(0, 3))]
+
+    values = [None if rng.random() < 0.03 else [part() for _ in range(rng.choice([0, 1, 1, 2, 2, 3]))] for _ in range(3000)]
+    xy = np.array([(p["x"], p["y"]) for value in values for q in value or () for r in q or () for p in r])
+    sizes = np.array([len(r) for value in values for q in value or () for r in q or ()])
+    found = short_rings_valid(xy, np.cumsum(sizes) - sizes, sizes)
+    rings = [r for value in values for q in value or () for r in q or ()]
+    assert all(f == valid_parts([[r]]) for f, r in zip(found, rings, strict=True) if f >= 0) and (found == 1).sum() > 100 and (found == 0).sum() > 100
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    got, want = validity(pa.array(values, kind)).to_pylist(), [valid_parts(v) for v in values]
+    assert got == want and 300 < sum(want) < 2700
+    assert validity(pa.array(values, kind).slice(11, 500)).to_pylist() == want[11:511]
