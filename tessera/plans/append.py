@@ -1,7 +1,8 @@
 """The flagship plan: append a raster and its labels to a dataset.
 
 The small facts (extent, quantile, categories, ids, version) are settled first, as aggregates; images and annotations are
-then one lazy plan: labels -> windows by grid arithmetic, labels -> row intervals, masks by label, ids by window block.
+then one plan: labels -> windows by grid arithmetic, labels -> row intervals, masks by label, encoded where they are cut;
+ids by window, category and block of labels.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from ..operators.labels import average_bounds, join_categories, total_bounds, va
 from ..operators.numbering import number_rows
 from ..operators.raster import tile_name
 
-#: Windows per block when ids are numbered.
+#: Windows per block when ids are numbered, and labels per group of a window and category.
 BLOCK = 64
+LABELS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,42 +52,58 @@ class Raster:
         return abs(self.transform[0]), abs(self.transform[4])
 
 
-def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(kept windows, masks) of labels with label_ord, geometry, is_multi and category id.
-
-    Kept windows are those that any label touches, even if no pixel comes of it.  Both are read several times by what
-    follows (ids need counts first), so the masks of all touched windows are computed once and persisted.
-    """
-    schema = grid.schema
+def outlined(labels: DataFrame, raster: Raster) -> DataFrame:
+    """label_ord, category_id, iscrowd and the edges of labels with label_ord, geometry, is_multi and category id."""
     slim = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
-    shaped = with_edges(slim, raster.transform)
+    return with_edges(slim, raster.transform)
+
+
+def touched_windows(labels: DataFrame, raster: Raster, grid: windows.Grid) -> DataFrame:
+    """window_ord, col_off, row_off of the windows that any label touches, even if no pixel comes of it."""
+    return windows.label_windows(with_edges(labels.select("label_ord", "geometry"), raster.transform), grid).select("window_ord", "col_off", "row_off").distinct()
+
+
+def touched_masks(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> DataFrame:
+    """Masks (rows) of labels in all windows that they touch, empty ones too."""
+    shaped = outlined(labels, raster)
     shaped = shaped.withColumn("rows", masks.label_rows(F.col("edges"), raster.height)).drop("geometry")
     if invalid is not None:
         shaped = masks.without_invalid(shaped, invalid)
-    carried = ("category_id", "iscrowd")
     size = (raster.width, raster.height)
-    found = masks.window_masks(windows.label_windows(shaped, grid), schema.width_window, schema.height_window, size, carried)
-    found = found.persist(StorageLevel.MEMORY_AND_DISK)
-    return found.select("window_ord", "col_off", "row_off").distinct(), found.filter(F.size("rows") > 0)
+    return masks.window_masks(windows.label_windows(shaped, grid), grid.schema.width_window, grid.schema.height_window, size, ("category_id", "iscrowd"))
+
+
+def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept windows, annotations without ids, their counts) of labels with label_ord, geometry, is_multi and category id.
+
+    Kept windows are those that any label touches, even if no pixel comes of it.  All are read several times by what
+    follows (ids need counts first), so masks are encoded where they are cut, and what is left of them, a short row each, is
+    persisted.  The counts are computed here: readers that came at once would each compute the masks.
+    """
+    rows = F.col("rows")
+    found = touched_masks(labels, raster, grid, invalid).select(
+        "label_ord", "window_ord", "col_off", "row_off", "category_id", "iscrowd", F.floor(F.col("label_ord") / LABELS).alias("label_block"),
+        masks.area(rows).alias("area"), masks.bbox(rows).alias("bbox"), masks.segmentation(rows, grid.schema.width_window, grid.schema.height_window).alias("segmentation"),
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = found.groupBy("window_ord", "col_off", "row_off", "category_id", "label_block").agg(F.count_if(F.col("area") > 0).alias("x_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts.count()
+    return counts.select("window_ord", "col_off", "row_off").distinct(), found.filter(F.col("area") > 0), counts.filter("x_n > 0")
 
 
 def image_rows(kept: DataFrame, start: int, images_dir: str, source_id: int, schema: windows.WindowSchema, date_captured, suffix: str) -> DataFrame:
     """images with window_ord: ids by window order."""
-    numbered = number_rows(kept, "id", F.floor(F.col("window_ord") / BLOCK), ["window_ord"], start)
+    blocks = kept.withColumn("x_block", F.floor(F.col("window_ord") / BLOCK))
+    numbered = number_rows(blocks, "id", F.col("x_block"), ["x_block"], ["window_ord"], start)
     w, h = F.lit(schema.width_window), F.lit(schema.height_window)
     name = tile_name(images_dir, F.lit(source_id), F.col("col_off"), F.col("row_off"), w, h, suffix)
     return numbered.select("window_ord", "id", w.alias("width"), h.alias("height"), name.alias("file_name"), F.lit(source_id).cast("bigint").alias("source_id"), F.lit(date_captured).cast("timestamp_ntz").alias("date_captured"))
 
 
-def annotation_rows(cut: DataFrame, images: DataFrame, start: int, schema: windows.WindowSchema) -> DataFrame:
+def annotation_rows(cut: DataFrame, counts: DataFrame, images: DataFrame, start: int) -> DataFrame:
     """annotations: ids by window, category, label order; masks without a pixel have no row."""
-    numbered = number_rows(cut, "id", F.floor(F.col("window_ord") / BLOCK), ["window_ord", "category_id", "label_ord"], start)
+    numbered = number_rows(cut, "id", F.floor(F.col("window_ord") / BLOCK), ["window_ord", "category_id", "label_block"], ["label_ord"], start, counts)
     joined = numbered.join(images.select("window_ord", F.col("id").alias("image_id")), "window_ord")
-    return joined.select(
-        "id", "image_id", F.col("category_id").cast("bigint").alias("category_id"),
-        masks.segmentation(F.col("rows"), schema.width_window, schema.height_window).alias("segmentation"),
-        masks.area(F.col("rows")).cast("double").alias("area"), masks.bbox(F.col("rows")).alias("bbox"), "iscrowd",
-    )
+    return joined.select("id", "image_id", F.col("category_id").cast("bigint").alias("category_id"), "segmentation", F.col("area").cast("double").alias("area"), "bbox", "iscrowd")
 
 
 def append_dataset(
@@ -102,7 +120,6 @@ def append_dataset(
 
     labels = validate(labels, id_attribute, name_attribute, super_attribute)
     categories = add_categories(dataset.categories, labels, id_attribute=id_attribute, name_attribute=name_attribute, super_attribute=super_attribute, id_policy=id_policy)
-    labels = join_categories(labels, categories, id_attribute, name_attribute)
     windows.require_same_crs(label_srid, raster.srid)
     box = bounds(F.col("geometry"))
     parent = windows.parent_window(raster.bounds, total_bounds(labels, box), raster.transform)
@@ -113,9 +130,9 @@ def append_dataset(
     nodata = pixels_of.nodata_value(raster.nodata)
     eight_bit = raster.dtype == "uint8"
     invalid = pixels_of.invalid_runs(raster.pixels, nodata) if raster.pixels is not None else None
-    kept, cut = annotate(labels, raster, grid, invalid)
+    kept, cut, counts = annotate(join_categories(labels, categories, id_attribute, name_attribute), raster, grid, invalid)
     images = image_rows(kept, dataset.count("images"), images_dir, source_id, schema, raster.date_captured, suffix)
-    annotations = annotation_rows(cut, images, dataset.count("annotations"), schema)
+    annotations = annotation_rows(cut, counts, images, dataset.count("annotations"))
     if raster.pixels is not None and write_tiles:
         boxes = kept.select("window_ord", "col_off", "row_off", F.lit(schema.width_window).alias("width"), F.lit(schema.height_window).alias("height"))
         cells = pixels_of.tile_rows(raster.pixels, boxes, nodata)

@@ -301,3 +301,23 @@ def test_spatial_join_has_no_nested_loop(spark, sf_dir):
     plan = touching(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Exchange" not in plan
     assert SCENE.width == 4096
+
+
+def test_labels_of_one_piece_are_dealt(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    spread = labels.dealt(rows, "id", 100)
+    assert spread.rdd.getNumPartitions() == 10 and sorted(r[0] for r in spread.collect()) == list(range(1000))
+    assert labels.dealt(rows, "id").rdd.getNumPartitions() == 1
+    plan = spread.select((F.col("id") * 7 % 11).alias("v")).filter("v > 3")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("% 11") < plan.index("RepartitionByExpression")  # what is made of the rows comes after
+
+
+def test_ids_by_group(spark):
+    """Few windows with many rows: groups by window and category, offsets within and over buckets."""
+    from tessera.operators.numbering import number_rows
+
+    rng = np.random.default_rng(2)
+    rows = [(int(w), int(c), k) for k, (w, c) in enumerate(zip(rng.integers(0, 5, 500), rng.integers(0, 4, 500), strict=True))]
+    df = spark.createDataFrame(rows, "w bigint, c bigint, k bigint")
+    out = number_rows(df, "n", F.floor(F.col("w") / 2), ["w", "c"], ["k"], 10).collect()
+    assert [(r["w"], r["c"], r["k"]) for r in sorted(out, key=lambda r: r["n"])] == sorted(rows) and sorted(r["n"] for r in out) == list(range(11, 511))
