@@ -23,10 +23,10 @@ def dealt(rows: DataFrame, key: str, most: int = TASK_LABELS) -> DataFrame:
     """`rows` over as many tasks as their number asks for, however few pieces their files have.
 
     Meant for slim rows, before geometry is made of them: a Parquet file of one row group is one task otherwise.  The filter
-    keeps every row; being random, it is one that filters on geometry are not moved below, to before the rows are dealt.
+    keeps every row; not being deterministic, it is one that filters on geometry are not moved below, to before the rows are dealt.
     """
     n = math.ceil(rows.count() / most)
-    return rows.repartition(n, key).filter(F.rand() >= 0) if n > 1 else rows
+    return rows.repartition(n, key).filter(F.spark_partition_id() >= 0) if n > 1 else rows
 
 
 def require_keys(labels: DataFrame, id_attribute: str | None, name_attribute: str | None) -> None:
