@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,5 +42,15 @@ def new_categories(
     return fresh.select((F.lit(start) + F.row_number().over(Window.orderBy("key"))).cast("bigint").alias("id"), F.col("key").alias("name"), "supercategory")
 
 
+#: Categories that the driver takes over; more stay with the cluster.
+SETTLED = 20_000
+
+
+def settled(categories: DataFrame) -> DataFrame:
+    """The same rows, computed once: what reads them later does not go through the labels again."""
+    rows = categories.limit(SETTLED + 1).toArrow()
+    return categories.sparkSession.createDataFrame(rows, categories.schema) if rows.num_rows <= SETTLED else categories.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def add_categories(existing: DataFrame, labels: DataFrame, **attributes) -> DataFrame:
     return existing.select("id", "name", "supercategory").unionByName(new_categories(existing, labels, **attributes))

@@ -18,10 +18,14 @@ class Dataset:
     spark: SparkSession
     info: dict
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Tables whose number of rows is known from how they were made.
+    sizes: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
 
     def __post_init__(self):
         for name, schema in TABLES.items():
-            self.tables.setdefault(name, self.spark.createDataFrame([], schema))
+            if name not in self.tables:
+                self.tables[name] = self.spark.createDataFrame([], schema)
+                self.sizes[name] = (self.tables[name], 0)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -29,7 +33,8 @@ class Dataset:
         raise AttributeError(name)
 
     def count(self, name: str) -> int:
-        return self.tables[name].count()
+        of, n = self.sizes.get(name, (None, 0))
+        return n if of is self.tables[name] else self.tables[name].count()
 
 
 def create_dataset(spark: SparkSession, description: str, contributor: str, version: str = "0.0.0", date_created: datetime | None = None) -> Dataset:

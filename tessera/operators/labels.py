@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +138,16 @@ def average_bounds(labels: DataFrame, box: Column, quantile: float = 0.9, most:
     return row["w"], row["h"]
 
 
+def extents(labels: DataFrame, box: Column) -> tuple[tuple, tuple[float | None, float | None]]:
+    """(total_bounds, average_bounds) of labels: their boxes are made once and kept while both are found."""
+    boxes = labels.select(box.alias("b")).select("b.minx", "b.miny", "b.maxx", "b.maxy").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        own = F.struct("minx", "miny", "maxx", "maxy")
+        return total_bounds(boxes, own), average_bounds(boxes, own)
+    finally:
+        boxes.unpersist()
+
+
 def total_bounds(labels: DataFrame, box: Column) -> tuple:
     row = labels.select(box.alias("b")).agg(F.min("b.minx"), F.min("b.miny"), F.max("b.maxx"), F.max("b.maxy")).first()
     return tuple(row)

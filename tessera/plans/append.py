@@ -1,12 +1,13 @@
 """The flagship plan: append a raster and its labels to a dataset.
 
 The small facts (extent, quantile, categories, ids, version) are settled first, as aggregates; images and annotations are
-then one plan: labels -> windows by grid arithmetic, labels -> row intervals, masks by label, encoded where they are cut;
-ids by window, category and block of labels.
+then one plan: labels -> windows, row intervals, masks and their code in one kernel; ids by window, category and block of
+labels.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -16,15 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, with_edges
 from ..operators import masks, windows
-from ..operators.categories import add_categories
+from ..operators.categories import add_categories, settled
 from ..operators.dataset import Dataset, version_after
-from ..operators.labels import average_bounds, join_categories, total_bounds, validate
+from ..operators.encoding import encoded
+from ..operators.labels import extents, join_categories, validate
 from ..operators.numbering import number_rows
 from ..operators.raster import tile_name
 
 #: Windows per block when ids are numbered, and labels per group of a window and category.
 BLOCK = 64
 LABELS = 1 << 20
+#: Rows to a piece of a small table that is kept and read several times.
+KEPT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -63,16 +67,20 @@ def touched_windows(labels: DataFrame, raster: Raster, grid: windows.Grid) -> Da
     return windows.label_windows(with_edges(labels.select("label_ord", "geometry"), raster.transform), grid).select("window_ord", "col_off", "row_off").distinct()
 
 
-def touched_masks(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> DataFrame:
+def touched_masks(labels: DataFrame, raster: Raster, grid: windows.Grid) -> DataFrame:
     """Masks (rows) of labels in all windows that they touch, empty ones too."""
     shaped = outlined(labels, raster)
     shaped = shaped.withColumn("rows", masks.label_rows(F.col("edges"), raster.height)).drop("geometry")
-    if invalid is not None:
-        shaped = masks.without_invalid(shaped, invalid)
     size = (raster.width, raster.height)
     return masks.window_masks(windows.label_windows(shaped, grid), grid.schema.width_window, grid.schema.height_window, size, ("category_id", "iscrowd"))
 
 
+def kept(rows: DataFrame, most: int) -> DataFrame:
+    """`rows`, of which there are `most` at most, persisted in as few pieces as their number asks for; a kept table has as many
+    as its last shuffle otherwise, and every reader as many tasks."""
+    return rows.coalesce(max(1, math.ceil(most / KEPT_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept windows, annotations without ids, their counts) of labels with label_ord, geometry, is_multi and category id.
 
@@ -80,12 +88,14 @@ def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: Dat
     follows (ids need counts first), so masks are encoded where they are cut, and what is left of them, a short row each, is
     persisted.  The counts are computed here: readers that came at once would each compute the masks.
     """
-    rows = F.col("rows")
-    found = touched_masks(labels, raster, grid, invalid).select(
-        "label_ord", "window_ord", "col_off", "row_off", "category_id", "iscrowd", F.floor(F.col("label_ord") / LABELS).alias("label_block"),
-        masks.area(rows).alias("area"), masks.bbox(rows).alias("bbox"), masks.segmentation(rows, grid.schema.width_window, grid.schema.height_window).alias("segmentation"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = found.groupBy("window_ord", "col_off", "row_off", "category_id", "label_block").agg(F.count_if(F.col("area") > 0).alias("x_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    shaped = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
+    if invalid is not None:
+        rows = with_edges(shaped, raster.transform).select(*shaped.columns, masks.label_rows(F.col("edges"), raster.height).alias("rows"))
+        shaped = masks.without_invalid(rows, invalid)
+    found = encoded(shaped, raster.transform, (raster.width, raster.height), grid)
+    found = found.withColumn("label_block", F.floor(F.col("label_ord") / LABELS)).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = found.groupBy("window_ord", "col_off", "row_off", "category_id", "label_block").agg(F.count_if(F.col("area") > 0).alias("x_n"))
+    counts = kept(counts, found.count())
     counts.count()
     return counts.select("window_ord", "col_off", "row_off").distinct(), found.filter(F.col("area") > 0), counts.filter("x_n > 0")
 
@@ -119,22 +129,24 @@ def append_dataset(
     from ..sources import tiles
 
     labels = validate(labels, id_attribute, name_attribute, super_attribute)
-    categories = add_categories(dataset.categories, labels, id_attribute=id_attribute, name_attribute=name_attribute, super_attribute=super_attribute, id_policy=id_policy)
+    categories = settled(add_categories(dataset.categories, labels, id_attribute=id_attribute, name_attribute=name_attribute, super_attribute=super_attribute, id_policy=id_policy))
     windows.require_same_crs(label_srid, raster.srid)
-    box = bounds(F.col("geometry"))
-    parent = windows.parent_window(raster.bounds, total_bounds(labels, box), raster.transform)
-    schema = windows.estimate_schema(average_bounds(labels, box), raster.resolution, window_bounds)
+    whole, average = extents(labels, bounds(F.col("geometry")))
+    parent = windows.parent_window(raster.bounds, whole, raster.transform)
+    schema = windows.estimate_schema(average, raster.resolution, window_bounds)
     grid = windows.grid_of(parent, schema, ensure_cover)
     version, source_id, new = version_after(dataset, raster.path, images_dir)
 
     nodata = pixels_of.nodata_value(raster.nodata)
     eight_bit = raster.dtype == "uint8"
     invalid = pixels_of.invalid_runs(raster.pixels, nodata) if raster.pixels is not None else None
-    kept, cut, counts = annotate(join_categories(labels, categories, id_attribute, name_attribute), raster, grid, invalid)
-    images = image_rows(kept, dataset.count("images"), images_dir, source_id, schema, raster.date_captured, suffix)
+    pictured, cut, counts = annotate(join_categories(labels, categories, id_attribute, name_attribute), raster, grid, invalid)
+    n_images, n_annotations = pictured.count(), counts.agg(F.coalesce(F.sum("x_n"), F.lit(0))).first()[0]
+    sizes = {"images": dataset.count("images") + n_images, "annotations": dataset.count("annotations") + n_annotations}
+    images = kept(image_rows(pictured, dataset.count("images"), images_dir, source_id, schema, raster.date_captured, suffix), n_images)
     annotations = annotation_rows(cut, counts, images, dataset.count("annotations"))
     if raster.pixels is not None and write_tiles:
-        boxes = kept.select("window_ord", "col_off", "row_off", F.lit(schema.width_window).alias("width"), F.lit(schema.height_window).alias("height"))
+        boxes = pictured.select("window_ord", "col_off", "row_off", F.lit(schema.width_window).alias("width"), F.lit(schema.height_window).alias("height"))
         cells = pixels_of.tile_rows(raster.pixels, boxes, nodata)
         tiles.write(pixels_of.as_bytes(cells) if eight_bit else pixels_of.normalise(cells), images.select("window_ord", "file_name"))
     spark = dataset.spark
@@ -145,4 +157,4 @@ def append_dataset(
         "categories": categories,
         "sources": dataset.sources.unionByName(source),
     }
-    return Dataset(spark, dataset.info | {"version": version}, tables)
+    return Dataset(spark, dataset.info | {"version": version}, tables, {name: (tables[name], n) for name, n in sizes.items()})

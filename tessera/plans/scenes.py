@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds
 from ..operators import windows
-from ..operators.labels import average_bounds, dealt, total_bounds
+from ..operators.labels import dealt, extents
 from ..schemas import GEOMETRY
 from .append import Raster
 
@@ -50,9 +50,9 @@ def label_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_grid(labels: DataFrame) -> windows.Grid:
-    box = bounds(F.col("geometry"))
-    parent = windows.parent_window(SCENE.bounds, total_bounds(labels, box), SCENE.transform)
-    return windows.grid_of(parent, windows.estimate_schema(average_bounds(labels, box), SCENE.resolution, WINDOW_BOUNDS))
+    whole, average = extents(labels, bounds(F.col("geometry")))
+    parent = windows.parent_window(SCENE.bounds, whole, SCENE.transform)
+    return windows.grid_of(parent, windows.estimate_schema(average, SCENE.resolution, WINDOW_BOUNDS))
 
 
 def embedding_raster(spark: SparkSession, sf_dir: str) -> DataFrame:

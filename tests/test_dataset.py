@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.cli import main
 from tessera.functions import rle
 from tessera.operators.dataset import create_dataset, load_dataset, save_dataset, source_of, version_after
-from tessera.plans.append import append_dataset
+from tessera.plans.append import Raster, append_dataset
 from tessera.sources import geotiff, tiles, vector
 from tessera.streaming.appends import append_stream
 
@@ -289,3 +289,23 @@ def test_stream_of_labels(spark, table, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert load_dataset(spark, path).count("annotations") == 5
+
+
+def test_an_append_is_settled_once(spark, table):
+    """What an append has counted and kept is not computed again by the next: no job for its sizes, no label for its
+    categories,
+    and its small tables lie in few pieces."""
+    raster = Raster("r", 256, 256, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3857)
+    done = create_dataset(spark, "d", "c")
+    for folder in ("a", "b"):
+        done = append_dataset(done, folder, raster, [(256, 256)], table, "cid", "cname", label_srid=3857)
+    spark.sparkContext.setJobGroup("sizes", "")
+    try:
+        assert (done.count("images"), done.count("annotations")) == (2, 10)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sizes")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert done.tables["images"].count() == 2 and sorted(r["id"] for r in done.annotations.collect()) == list(range(1, 11))
+    assert "LocalTableScan" in done.categories._jdf.queryExecution().executedPlan().toString()
+    done.tables["images"] = done.images.limit(1)  # a table that somebody changed is counted
+    assert done.count("images") == 1

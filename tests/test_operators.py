@@ -321,3 +321,38 @@ def test_ids_by_group(spark):
     df = spark.createDataFrame(rows, "w bigint, c bigint, k bigint")
     out = number_rows(df, "n", F.floor(F.col("w") / 2), ["w", "c"], ["k"], 10).collect()
     assert [(r["w"], r["c"], r["k"]) for r in sorted(out, key=lambda r: r["n"])] == sorted(rows) and sorted(r["n"] for r in out) == list(range(11, 511))
+
+
+@pytest.mark.parametrize("pieces", [2_000_000, 40])
+def test_one_kernel_equals_its_steps(spark, monkeypatch, pieces):
+    """Masks of labels in windows, code and all, as by windows, rows, cutting and encoding one after the other; rows that are
+    known already are taken as they are; small pieces of work change nothing."""
+    from tessera.functions import rle
+    from tessera.operators import encoding
+
+    rng = np.random.default_rng(6)
+    some = [circle(*rng.uniform(0, 60, 2), rng.choice([0.2, 3, 9, 25]), 9) for _ in range(60)]
+    far = [[[{"x": float(x), "y": float(y)} for x, y in ((-1e6, -1e6), (1e6, -1e6), (3.5, 1e6), (-1e6, -1e6))]]]
+    shell, hole = circle(30, 30, 20)[0][0], circle(30, 30, 12)[0][0]
+    some += [some[0] + some[1], circle(-50, -50, 3), far, [[shell, hole]], circle(16, 16, 4, 4), []]
+    grid, size, transform = windows.Grid(-3.0, 1.5, 4, 5, windows.WindowSchema(20, 16, 2, 1)), (55, 58), (1.0, 0, 0, 0, 1.0, 0)
+    table = frame(spark, some).select("label_ord", "geometry", (F.col("label_ord") % 5).alias("category_id"), F.lit(1).alias("iscrowd"))
+    shaped = with_edges(table, transform).withColumn("rows", masks.label_rows(F.col("edges"), size[1]))
+    cut = masks.window_masks(windows.label_windows(shaped, grid), 20, 16, size, ("category_id", "iscrowd")).collect()
+    want = {(r["label_ord"], r["window_ord"]): r for r in cut}
+    monkeypatch.setattr(encoding, "PIECES", pieces)
+    for given in (table, shaped.select(*table.columns, "rows")):
+        got = {}
+        for batch in given.coalesce(1).toArrow().to_batches():
+            for out in encoding.encode_batch(batch, transform, size, grid):
+                for r in out.to_pylist():
+                    assert got.setdefault((r["label_ord"], r["window_ord"]), r) is r
+        assert got.keys() == want.keys() and len({k[0] for k in got}) > 50 and any(not r["area"] for r in got.values())
+        for key, r in got.items():
+            w, rows = want[key], [(x["row"], x["c0"], x["c1"]) for x in want[key]["rows"]]
+            assert [r[c] for c in ("col_off", "row_off", "category_id", "iscrowd")] == [w[c] for c in ("col_off", "row_off", "category_id", "iscrowd")]
+            assert r["area"] == sum(b - a + 1 for _, a, b in rows) and r["segmentation"]["size"] == [16, 20]
+            assert r["segmentation"]["counts"] == rle.to_string(rle.counts_of(*(zip(*rows) if rows else ((),) * 3), 16, 20))
+            top, left = min((x[0] for x in rows), default=0), min((x[1] for x in rows), default=0)
+            assert r["bbox"] == ([left, top, max(x[2] for x in rows) - left + 1, max(x[0] for x in rows) - top + 1] if rows else [])
+    assert encoding.encoded(table, transform, size, grid).count() == len(want)
