@@ -7,6 +7,8 @@ the label's mask cut and shifted.  A label's rows stay beside it as one nested c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -123,24 +125,49 @@ def row_intervals(labels: DataFrame) -> DataFrame:
     return rows.select("label_ord", "r.row", "r.runs").filter(F.size("runs") > 0)
 
 
-def cut_invalid(rows: DataFrame, invalid: DataFrame) -> DataFrame:
-    """`rows` without the pixels of `invalid` (row, runs: disjoint sorted runs of pixels without data)."""
-    joined = rows.join(invalid.select("row", F.col("runs").alias("holes")), "row", "left")
+#: Runs without data that are sent to every task; where there are more, the rows of labels move to them.
+BROADCAST_HOLES = 1_000_000
+
+
+def few_holes(invalid: DataFrame, reach: Callable[[], tuple[int, int]] | None = None) -> DataFrame:
+    """`invalid` (x_row, holes) as a table of the driver's that every task gets, if it is that small; scanlines are few keys for
+    many labels, so a shuffle by them would move all rows of labels to few tasks.  Where it is not, it is tried again with the
+    scanlines from the first to the last that labels reach."""
+    flat = invalid.select("x_row", F.explode("holes").alias("h")).limit(BROADCAST_HOLES + 1).toArrow().combine_chunks()
+    if flat.num_rows > BROADCAST_HOLES:
+        return few_holes(invalid.filter(F.col("x_row").between(*reach()))) if reach else invalid
+    row, holes = (flat.column(c).combine_chunks() if flat.num_rows else pa.array([], flat.schema.field(c).type) for c in ("x_row", "h"))
+    line = row.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.diff(line, prepend=line[0] - 1)) if len(line) else np.empty(0, np.int64)  # a scanline's lie side by side
+    table = pa.table({"x_row": row.take(pa.array(first)), "holes": pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), holes)})
+    return F.broadcast(invalid.sparkSession.createDataFrame(table, "x_row int, holes array<struct<c0:int,c1:int>>"))
+
+
+def cut_invalid(rows: DataFrame, invalid: DataFrame, reach: Callable[[], tuple[int, int]] | None = None) -> DataFrame:
+    """`rows` without the pixels of `invalid` (row, runs: disjoint sorted runs of pixels without data).
+
+    `reach` finds the first and last row that labels may have; it is asked only where there are many holes.
+    Few of a scene's rows meet a hole: those whose columns reach none of a scanline's pass by as they are.
+    """
+    invalid = few_holes(invalid.select(F.col("row").alias("x_row"), F.col("runs").alias("holes")), reach)
+    ends = lambda c: (F.get(c, F.lit(0))["c0"], F.element_at(c, -1)["c1"])
+    (first, last), (begin, end) = ends("runs"), ends("holes")
+    joined = rows.join(invalid, (F.col("row") == F.col("x_row")) & (begin <= last) & (end >= first), "left")
 
     def cut(runs: Column, hole: Column) -> Column:
         left = F.transform(runs, lambda r: F.struct(r["c0"].alias("c0"), F.least(r["c1"], hole["c0"] - 1).alias("c1")))
         right = F.transform(runs, lambda r: F.struct(F.greatest(r["c0"], hole["c1"] + 1).alias("c0"), r["c1"].alias("c1")))
         return F.filter(F.concat(left, right), lambda r: r["c0"] <= r["c1"])
 
-    holes = F.coalesce("holes", F.array().cast("array<struct<c0:int,c1:int>>"))
-    runs = F.sort_array(F.array_distinct(F.aggregate(holes, F.col("runs"), cut)))
+    near = F.filter("holes", lambda h: (h["c0"] <= last) & (h["c1"] >= first))
+    runs = F.when(F.col("holes").isNull(), F.col("runs")).otherwise(F.sort_array(F.array_distinct(F.aggregate(near, F.col("runs"), cut))))
     return joined.select("label_ord", "row", runs.alias("runs")).filter(F.size("runs") > 0)
 
 
-def without_invalid(labels: DataFrame, invalid: DataFrame) -> DataFrame:
+def without_invalid(labels: DataFrame, invalid: DataFrame, reach: Callable[[], tuple[int, int]] | None = None) -> DataFrame:
     """`labels` (label_ord, rows, ...) with the pixels of `invalid` taken out of `rows`."""
     lines = labels.select("label_ord", F.explode("rows").alias("r")).select("label_ord", "r.row", "r.runs").filter(F.size("runs") > 0)
-    left = cut_invalid(lines, invalid).groupBy("label_ord").agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias("rows"))
+    left = cut_invalid(lines, invalid, reach).groupBy("label_ord").agg(F.sort_array(F.collect_list(F.struct("row", "runs"))).alias("rows"))
     # Every row from the first to the last again, so that windows find theirs by position.
     first, last = F.col("rows")[0]["row"], F.element_at("rows", -1)["row"]
     held = F.map_from_entries("rows")

@@ -91,7 +91,8 @@ def annotate(labels: DataFrame, raster: Raster, grid: windows.Grid, invalid: Dat
     shaped = labels.select("label_ord", "geometry", F.col("id").alias("category_id"), F.col("is_multi").cast("int").alias("iscrowd"))
     if invalid is not None:
         rows = with_edges(shaped, raster.transform).select(*shaped.columns, masks.label_rows(F.col("edges"), raster.height).alias("rows"))
-        shaped = masks.without_invalid(rows, invalid)
+        s, top = grid.schema, int(grid.r0)
+        shaped = masks.without_invalid(rows, invalid, lambda: (top, top + grid.n_rows * s.height_step + s.height_window))
     found = encoded(shaped, raster.transform, (raster.width, raster.height), grid)
     found = found.withColumn("label_block", F.floor(F.col("label_ord") / LABELS)).persist(StorageLevel.MEMORY_AND_DISK)
     counts = found.groupBy("window_ord", "col_off", "row_off", "category_id", "label_block").agg(F.count_if(F.col("area") > 0).alias("x_n"))

@@ -293,8 +293,7 @@ def test_stream_of_labels(spark, table, tmp_path):
 
 def test_an_append_is_settled_once(spark, table):
     """What an append has counted and kept is not computed again by the next: no job for its sizes, no label for its
-    categories,
-    and its small tables lie in few pieces."""
+    categories."""
     raster = Raster("r", 256, 256, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 3857)
     done = create_dataset(spark, "d", "c")
     for folder in ("a", "b"):

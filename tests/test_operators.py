@@ -356,3 +356,35 @@ def test_one_kernel_equals_its_steps(spark, monkeypatch, pieces):
             top, left = min((x[0] for x in rows), default=0), min((x[1] for x in rows), default=0)
             assert r["bbox"] == ([left, top, max(x[2] for x in rows) - left + 1, max(x[0] for x in rows) - top + 1] if rows else [])
     assert encoding.encoded(table, transform, size, grid).count() == len(want)
+
+
+def test_holes_go_to_the_labels(spark, monkeypatch):
+    """Rows are not shuffled by scanline where holes are few, and those that meet no hole stay as they are; many holes, or only
+    those in reach, give the same."""
+    rng = np.random.default_rng(8)
+    rows = [(k, int(r), [(int(a), int(a) + 3), (int(a) + 6, int(a) + 9)]) for k, (r, a) in enumerate(zip(rng.integers(0, 9, 200), rng.integers(0, 60, 200), strict=True))]
+    holes = [(r, [(c, c + r) for c in range(3 * r, 40, 12)]) for r in range(0, 30, 2)]
+    table = spark.createDataFrame(rows, "label_ord bigint, row int, runs array<struct<c0:int,c1:int>>")
+    invalid = spark.createDataFrame(holes, "row int, runs array<struct<c0:int,c1:int>>")
+    bad = {(r, c) for r, runs in holes for a, b in runs for c in range(a, b + 1)}
+    want = {(k, r, c) for k, r, runs in rows for a, b in runs for c in range(a, b + 1) if (r, c) not in bad}
+
+    def pixels(df):
+        found = [(x["label_ord"], x["row"], c) for x in df.collect() for a, b in x["runs"] for c in range(a, b + 1)]
+        assert len(found) == len(set(found))
+        return set(found)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = masks.cut_invalid(table, invalid)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString() and pixels(few) == want
+        assert pixels(masks.cut_invalid(table, invalid.limit(0))) == {(k, r, c) for k, r, runs in rows for a, b in runs for c in range(a, b + 1)}
+        monkeypatch.setattr(masks, "BROADCAST_HOLES", 15)  # 16 holes in all, 14 of them in rows 0 to 8
+        asked = []
+        assert pixels(masks.cut_invalid(table, invalid, lambda: asked.append(1) or (0, 8))) == want and asked == [1]
+        monkeypatch.setattr(masks, "BROADCAST_HOLES", 1)
+        many = masks.cut_invalid(table, invalid)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and pixels(many) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
